@@ -79,12 +79,10 @@ def _words(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, at - at[0])), at
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (maximal runs free of ASCII white space, A-Z lowered)
-    and, for each text, the index of its first word (len+1 entries)."""
+def word_table(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (maximal runs free of ASCII white space, A-Z lowered) and their start bytes."""
     if len(raw) <= 2 * BLOCK:
-        h, at = _words(raw, offs[:-1])
-        return h, np.searchsorted(at, offs)
+        return _words(raw, offs[:-1])
     parts, counts, lo = [], [], 0
     while lo < len(raw):  # one very long text: cut at white space
         hi = min(lo + BLOCK, len(raw))
@@ -99,8 +97,13 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         parts.append(h)
         counts.append(at + lo)
         lo = hi
-    at = np.concatenate(counts)
-    return np.concatenate(parts), np.searchsorted(at, offs)
+    return np.concatenate(parts), np.concatenate(counts)
+
+
+def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and, for each text, the index of its first word (len+1 entries)."""
+    h, at = word_table(raw, offs)
+    return h, np.searchsorted(at, offs)
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
