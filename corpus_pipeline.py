@@ -1,7 +1,78 @@
-"""Placeholder stages until all operators exist."""
-STAGES = []
+"""A training-data pipeline over ``documents``: five stages, each an operator of ``sonde.llm``.
+
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``;
+``run`` writes each result as Parquet in the shared scratch folder and reads it for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sonde.llm.language_id import identify_languages, train_languages
+from sonde.llm.line_templates import drop_recurring_lines
+from sonde.llm.minmax_dedup import near_duplicates
+from sonde.llm.packing import pack_documents
+from sonde.llm.queries import fold
+from sonde.llm.scratch import materialize
+from sonde.llm.toxicity import score_toxicity, train_toxicity
+
+TOXIC = 0.7
+#: An ambiguous prediction with less confidence than this is no language that was learnt.
+LEAST_CONFIDENCE = 0.4
+#: Up to so many rejected rows (16 bytes each) are broadcast; beyond, a shuffled join.
+REJECTED_ROWS = 2_000_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score as toxic; learns from the labels of the folds that op4 learns from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train_toxicity(docs, labels.where(fold(3) != 1))
+    return score_toxicity(docs, model, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents in no learnt language; a null lang becomes the prediction."""
+    model = train_languages(docs.where(fold(4) != 2))
+    named = identify_languages(docs, model, keep=tuple(docs.columns))
+    named = named.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < LEAST_CONFIDENCE)))
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that recur across them; n_chars follows the text."""
+    cleaned = drop_recurring_lines(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the least doc_id."""
+    rejected = materialize(near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash").distinct(), "pipeline-rejected")
+    if rejected.count() <= REJECTED_ROWS:
+        rejected = F.broadcast(rejected)
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(rejected, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("minhash_dedup", minhash_dedup),
+    ("packing", packing),
+]
+
+#: Classifiers and hashing can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    *filters, (_, last) = STAGES
+    for name, stage in filters:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return last(spark, docs, sf_dir)

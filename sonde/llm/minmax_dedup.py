@@ -147,7 +147,7 @@ def shingle_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     Documents whose shingle sets satisfy 100 * |A ∩ B| >= percent * |A ∪ B| are linked;
     component_id is the smallest doc_id reachable. Null, empty or wordless text: an empty
@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = connected_components(links, "mm-cc")
     classes = reps.groupBy("f1", "f2", "n").agg(F.first("r").alias("r")).select("f1", "f2", "n", F.col("r.doc_id").alias("v"))
     classes = classes.join(labels, "v", "left").select("f1", "f2", "n", F.coalesce("component", "v").alias("component_id"))
-    out = sketch.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
+    out = sketch.select("doc_id", "rk", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), "rk").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("rk").alias("text_hash")
     )
 
 
