@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,6 +290,23 @@ class Vocabulary:
             parts.append(run.decode("utf-8", "replace"))
         return "".join(parts).removeprefix(" ")
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """``decode`` of many: all ``ids`` one after another, and where each text's begin (and the last ends)."""
+        if not hasattr(self, "_bytes"):
+            spelt = {i: t.encode() for i, t in self.text_of.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+            pieces = [spelt.get(i, b"") for i in range(max(spelt, default=-1) + 2)]  # the last stands for any other id
+            self._bytes = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
+        raw, first = self._bytes
+        ids = np.where((ids >= 0) & (ids < len(first) - 1), ids, len(first) - 2)
+        size = first[ids + 1] - first[ids]
+        at = np.concatenate([[0], np.cumsum(size)])
+        data = raw[np.repeat(first[ids] - at[:-1], size) + np.arange(at[-1])]
+        cuts = at[ends]
+        begin, stop = cuts[:-1], cuts[1:]
+        begin = begin + ((stop > begin) & (data[np.minimum(begin, len(data) - 1)] == 32) if len(data) else 0)
+        whole = data.tobytes()
+        return pa.array([whole[b:e].decode("utf-8", "replace") for b, e in zip(begin.tolist(), stop.tolist(), strict=True)], pa.string())
+
     # --- chunks
 
     def _split(self, text: str, size: int) -> tuple[int, int]:
@@ -438,30 +456,22 @@ def _encode_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
 
 
 def decode_pieces(rows: DataFrame, ids: str = "ids", text: str = "text", model: str | None = None) -> DataFrame:
-    """``rows`` with the text of ``ids`` in ``text`` in their place; null ids give null, empty ones the empty text."""
+    """``rows`` with the text of ``ids`` in ``text`` in their place, and n_ids and ids_crc32 (of the ids as
+    little-endian unsigned 32-bit numbers). Null ids give a null text and 0s, empty ones the empty text."""
     small_batches(rows.sparkSession)
-    path, keep = model or default_model(), [c for c in rows.columns if c not in (ids, text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load_vocabulary(path).decode
-        for batch in batches:
-            out = [None if x is None else decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
-
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), f"`{text}` string"])
-    return rows.select(*keep, ids).mapInArrow(run, schema)
-
-
-def id_digests(rows: DataFrame, ids: str = "ids") -> DataFrame:
-    """``rows`` plus n_ids and ids_crc32 (of the little-endian unsigned 32-bit ids)."""
-    keep = rows.columns
+    path, keep = model or default_model(), [c for c in rows.columns if c not in (ids, text, "n_ids", "ids_crc32")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = load_vocabulary(path).decode_all
         for batch in batches:
             lists = batch.column(ids)
-            n = [len(x) if x is not None else 0 for x in lists]
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) if x.values is not None else 0 for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=[*keep, "n_ids", "ids_crc32"])
-
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "n_ids long, ids_crc32 long"])
-    return rows.mapInArrow(run, schema)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            out = pc.if_else(lists.is_valid(), decode(flat, ends), None)
+            narrow = flat.astype("<u4")
+            crc = [zlib.crc32(narrow[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out, pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=[*keep, text, "n_ids", "ids_crc32"])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), f"`{text}` string, n_ids long, ids_crc32 long"])
+    return rows.select(*keep, ids).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from .language_id import identify_languages, train_languages
 from .line_templates import drop_recurring_lines
 from .minmax_dedup import near_duplicates
 from .packing import pack_documents
-from .piece_codec import decode_pieces, encode_pieces, id_digests
+from .piece_codec import decode_pieces, encode_pieces
 from .rp_forest import nearest_neighbours
 from .toxicity import score_toxicity, train_toxicity
 
@@ -117,8 +117,7 @@ def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_ids, ids_crc32, and n_chars and the SHA-256 of the text decoded from the ids."""
-    encoded = id_digests(encode_pieces(_read(spark, sf_dir, "documents")))
-    decoded = decode_pieces(encoded)
+    decoded = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents")))
     return decoded.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
