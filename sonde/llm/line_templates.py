@@ -8,9 +8,10 @@ by one; support per place gives the same generalisation as counts, whatever the
 lines, and never gathers a leaf.) A template is kept if at least half its tokens are fixed.
 
 A template that recurs across documents is boilerplate, and its lines are dropped. Documents
-that are copies of each other are not evidence: each document has three min-hashes
-of its three-word shingles; documents that share one with the template's commonest value
-count once together, and the rest must be mostly different by it. Whole copies are for
+that are copies of each other are not evidence: each document has six min-hashes of its
+three-word shingles; documents that share two of the commonest values count once together
+(one of them the line itself may cause), and the rest must be mostly different and no
+negligible part of all. Whole copies are for
 near-duplicate removal, which keeps one of them whole.
 """
 
@@ -26,24 +27,27 @@ from pyspark.sql import functions as F
 from .kernels import U64, mix, runs, utf8, word_table
 from .scratch import materialize, small_batches
 
-LEADING, MIN_DOCS, FIXED_SHARE, DIFFERENT = 3, 10, 0.5, 0.5
-#: Up to so many recurring leaves (8 bytes each) are broadcast; beyond, a shuffled join.
-BROADCAST_LEAVES = 500_000
+LEADING, MIN_DOCS, FIXED_SHARE, DIFFERENT, PART = 3, 10, 0.5, 0.5, 0.01
+SKETCHES = ("s1", "s2", "s3", "s4", "s5", "s6")
+#: Up to so many 64-bit keys (of recurring leaves, of dropped lines) go to the scanning tasks; beyond, a shuffled join.
+SENT_KEYS = 2_000_000
 
+_LINES = "doc long, " + "".join(f"{s} int, " for s in SKETCHES) + "leaf long, hash long"
 _VARIABLE = U64(0x2A)
 _rng = np.random.Generator(np.random.PCG64(11))
 _POWER = _rng.integers(1, 2**63, 4, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_SEEDS = mix(np.arange(101, 104, dtype=U64))
+_SEEDS = mix(np.arange(101, 101 + len(SKETCHES), dtype=U64)) | U64(1)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
 def _lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For every line with a token: text, line number in it, first token, tokens, leaf, hash; and the tokens' hashes."""
+    """For every line with a token: text, line number in it, first token, tokens, leaf, hash; and
+    all tokens' hashes, with and without variables masked, and their start bytes."""
     h, at = word_table(raw, offs)
     if not len(h):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(U64), none.astype(U64), h
+        return none, none, none, none, none.astype(U64), none.astype(U64), h, h, at
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw], dtype=np.int32)])
     # A number's digits end with the word; blanks between hold none.
     token = np.where(digits[np.append(at[1:], len(raw))] > digits[at], _VARIABLE, h)
@@ -54,97 +58,148 @@ def _lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(head)
     count = np.diff(np.append(first, len(h)))
     place = np.arange(len(h)) - np.repeat(first, count)
-    spread = mix(token + mix(place.astype(U64)))
+    spread = mix(token + place.astype(U64) * _POWER[0])
     whole = mix(np.add.reduceat(spread, first) + count.astype(U64))
     leaf = mix(np.add.reduceat(np.where(place < LEADING, spread, U64(0)), first) ^ (count.astype(U64) * _POWER[3]))
-    return text[first], number[first], first, count, leaf, whole, token
+    return text[first], number[first], first, count, leaf, whole, token, h, at
 
 
 def _sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three min-hashes of each text's three-word shingles (of its words, if it has fewer); 0 without words."""
-    out = np.zeros((len(first) - 1, 3), np.int64)
-    three = mix(h * _POWER[0] + np.roll(h, -1) * _POWER[1] + np.roll(h, -2) * _POWER[2])
+    """Min-hashes (32 bits) of each text's three-word shingles (of its words, if it has fewer); 0 without words."""
     n = np.diff(first)
-    for i in np.flatnonzero(n):
-        own = three[first[i] : first[i + 1] - 2] if n[i] >= 3 else h[first[i] : first[i + 1]]
-        out[i] = [mix(own ^ s).min().view(np.int64) for s in _SEEDS]
+    out = np.zeros((len(n), len(_SEEDS)), np.int32)
+    if not len(h):
+        return out
+    three = mix(h * _POWER[0] + np.roll(h, -1) * _POWER[1] + np.roll(h, -2) * _POWER[2])
+    for back in (1, 2):  # a text's last two words begin no shingle: the one before, or the word itself, stands in
+        last = first[1:][n >= 3] - back
+        three[last] = three[first[1:][n >= 3] - 3]
+    short = np.repeat(n < 3, n)
+    three[short] = h[short]
+    some = np.flatnonzero(n)
+    for k, seed in enumerate(_SEEDS):
+        out[some, k] = np.minimum.reduceat(three * seed, first[some]) >> U64(33)
     return out
 
 
-def _scan(with_tokens: bool):
-    names = ["doc", "s1", "s2", "s3", "line", "leaf", "hash"] if not with_tokens else ["leaf", "hash", "tokens"]
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    raw, offs = utf8(batch.column(column))
+    for i, j in runs(offs):
+        yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, its three sketches, leaf and hash of every line."""
+    for batch in batches:
+        doc = batch.column("doc").to_numpy(zero_copy_only=False)
+        for i, j, raw, offs in _parts(batch, "text"):
+            text, _, _, _, leaf, whole, _, h, at = _lines(raw, offs)
+            sketch = _sketches(h, np.searchsorted(at, offs))[text]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i:j][text]), *(pa.array(np.ascontiguousarray(x)) for x in sketch.T), _ints(leaf), _ints(whole)], names=["doc", *SKETCHES, "leaf", "hash"])
+
+
+def _scan_tokens(wanted: np.ndarray | None):
+    """leaf, hash and tokens of the lines in the ``wanted`` leaves (sorted; None: of all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = utf8(batch.column("text"))
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
-            for i, j in runs(offs):
-                part, at = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                text, number, first, count, leaf, whole, token = _lines(part, at)
-                leaf, whole = pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64))
-                if with_tokens:
-                    tokens = pa.ListArray.from_arrays(pa.array(np.append(first, len(token)).astype(np.int32)), pa.array(token.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([leaf, whole, tokens], names=names)
-                else:
-                    h, starts = word_table(part, at)
-                    sketch = _sketches(h, np.searchsorted(starts, at))[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[i:j][text]), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(3)), pa.array(number.astype(np.int32)), leaf, whole], names=names)
+            for _, _, raw, offs in _parts(batch, "text"):
+                _, _, first, count, leaf, whole, token, _, _ = _lines(raw, offs)
+                if wanted is not None:
+                    take = np.isin(leaf.view(np.int64), wanted)
+                    token = token[np.repeat(take, count)]
+                    count, leaf, whole = count[take], leaf[take], whole[take]
+                ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([_ints(leaf), _ints(whole), pa.ListArray.from_arrays(ends, _ints(token))], names=["leaf", "hash", "tokens"])
 
     return run
 
 
+def _only(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` semi-joined with ``keys``, which are broadcast if there are few enough."""
+    return df.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, name, "left_semi")
+
+
+def _different(held: DataFrame, by: list[str], min_docs: int) -> DataFrame:
+    """The groups ``by`` that recur in at least ``min_docs`` documents that are no copies of each other; ``held``: group, doc, sketches."""
+    common = held.groupBy(*by).agg(F.count("*").alias("all"))
+    for s in SKETCHES:
+        sizes = held.groupBy(*by, s).agg(F.count("*").alias("n"))
+        common = common.join(sizes.groupBy(*by).agg(F.max(F.struct("n", s)).getField(s).alias(f"m{s}")), by)
+    others = held.join(common, by).where(" + ".join(f"int({s} = m{s})" for s in SKETCHES) + " <= 1")
+    # Sketches that the line itself sets are alike everywhere, so the most telling of them counts.
+    per = others.groupBy(*by).agg(F.greatest(*(F.count_distinct(s) for s in SKETCHES)).alias("different"), F.count("*").alias("docs"), F.first("all").alias("all"))
+    enough = F.greatest(F.lit(min_docs), PART * F.col("all"))
+    return per.where((F.col("different") + 1 >= enough) & (F.col("different") >= DIFFERENT * F.col("docs"))).select(*by)
+
+
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, lines): the numbers (from 0) of the lines to drop, for each text that has any; ``doc`` is xxhash64 of the text."""
+    """(hash): the lines, their variables masked, whose template recurs across documents."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("doc"))
-    lines = materialize(rows.mapInArrow(_scan(False), "doc long, s1 long, s2 long, s3 long, line int, leaf long, hash long"), "line-scan")
-    leaves = lines.select("leaf", "s1").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    leaves = materialize(leaves, "line-leaves")
-    if leaves.count() <= BROADCAST_LEAVES:
-        leaves = F.broadcast(leaves)
-    inside = materialize(lines.join(leaves, "leaf").distinct(), "line-inside")  # copies of a text are one text here
+    lines = materialize(rows.mapInArrow(_scan_lines, _LINES), "line-scan")
+    often = lines.select("leaf", "s1").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    inside = materialize(_only(lines, materialize(often, "line-often"), "leaf").distinct(), "line-inside")  # copies of a text are one text here
+    leaves = materialize(_different(inside.drop("hash").distinct(), ["leaf"], min_docs), "line-leaves")
+    inside = _only(inside, leaves, "leaf")
 
     # Distinct lines of these leaves with their tokens, and the support of each token at its place.
-    worded = rows.mapInArrow(_scan(True), "leaf long, hash long, tokens array<long>").join(leaves, "leaf")
-    worded = worded.groupBy("leaf", "hash").agg(F.first("tokens").alias("tokens"))
+    few = leaves.count() <= SENT_KEYS
+    wanted = np.sort(leaves.toPandas()["leaf"].to_numpy(np.int64)) if few else None
+    one = materialize(inside.groupBy("leaf", "hash").agg(F.min("doc").alias("doc")).select("doc").distinct(), "line-one")  # a text for each such line
+    worded = _only(rows, one, "doc").select("text").mapInArrow(_scan_tokens(wanted), "leaf long, hash long, tokens array<long>")
+    worded = (worded if few else worded.join(leaves, "leaf", "left_semi")).groupBy("leaf", "hash").agg(F.first("tokens").alias("tokens"))
     weight = inside.select("leaf", "hash", "s1").distinct().groupBy("leaf", "hash").agg(F.count("*").alias("docs"))
-    placed = worded.join(weight, ["leaf", "hash"]).select("leaf", "hash", "docs", F.posexplode("tokens").alias("place", "token"))
-    placed = materialize(placed, "line-placed")
+    placed = materialize(worded.join(weight, ["leaf", "hash"]).select("leaf", "hash", "docs", F.posexplode("tokens").alias("place", "token")), "line-placed")
     fixed = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != int(_VARIABLE)))
     marked = placed.join(fixed.select("leaf", "place", "token", F.lit(True).alias("fixed")), ["leaf", "place", "token"], "left")
     field = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(int(_VARIABLE))).alias("token"))
     templates = marked.groupBy("leaf", "hash").agg(F.count("fixed").alias("f"), F.count("*").alias("k"), F.xxhash64(F.array_sort(F.collect_list(field))).alias("template"))
     templates = templates.where(F.col("f") >= FIXED_SHARE * F.col("k")).select("leaf", "hash", "template")
-    seen = materialize(inside.join(templates, ["leaf", "hash"]).select("leaf", "template", "doc", "s1", "s2", "s3", "line"), "line-seen")
-
-    # Documents per template, copies aside.
-    held = seen.select("leaf", "template", "doc", "s1", "s2", "s3").distinct()
-    common = None
-    for s in ("s1", "s2", "s3"):
-        sizes = held.groupBy("leaf", "template", s).agg(F.count("*").alias("n"))
-        mode = sizes.groupBy("leaf", "template").agg(F.max(F.struct("n", s)).getField(s).alias(f"m{s}"))
-        common = mode if common is None else common.join(mode, ["leaf", "template"])
-    others = held.join(common, ["leaf", "template"]).where("s1 <> ms1 AND s2 <> ms2 AND s3 <> ms3")
-    docs_per = others.groupBy("leaf", "template", "s1").agg(F.count("*").alias("n")).groupBy("leaf", "template").agg(F.count("*").alias("different"), F.sum("n").alias("docs"))
-    dropped = docs_per.where((F.col("different") + 1 >= min_docs) & (F.col("different") >= DIFFERENT * F.col("docs"))).select("leaf", "template")
-    return seen.join(dropped, ["leaf", "template"]).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    seen = materialize(inside.join(templates, ["leaf", "hash"]), "line-seen")
+    dropped = _different(seen.drop("hash").distinct(), ["leaf", "template"], min_docs)
+    return seen.select("leaf", "hash", "template").distinct().join(dropped, ["leaf", "template"]).select("hash").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without the lines whose template recurs across documents: all columns, ``text``
-    rebuilt from the lines left, and n_lines and n_dropped (after a clash of names, theirs win).
+    rebuilt from the lines left, and n_lines and n_dropped (columns of these names are replaced).
 
     Lines end at newlines; blank lines are never dropped. A null text stays null (0 lines), an
     empty one is one line. Equal texts are treated alike and count as one document; null ids
     and repeated rows are kept as they are; an empty table gives no rows.
     """
-    marks = materialize(recurring_lines(docs, text, min_docs), "line-marks")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).withColumn("__doc", F.xxhash64(F.col(text))).join(marks.withColumnRenamed("doc", "__doc").withColumnRenamed("lines", "__lines"), "__doc", "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__lines", i)), "\n")
-    new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(kept)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(F.col(text)) - F.length(F.translate(F.col(text), "\n", "")) + 1).cast("long")
-    return joined.select(*(new.alias(c) if c == text else F.col(c) for c in own), n_lines.alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_dropped")).withColumn(
-        "n_dropped", F.greatest("n_dropped", F.lit(0).cast("long"))
-    )
+    drop = materialize(recurring_lines(docs, text, min_docs), "line-drop")
+    keep = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    if drop.count() <= SENT_KEYS:
+        hashes = np.sort(drop.toPandas()["hash"].to_numpy(np.int64))
+        rows = docs.select(*keep, F.col(text).alias(text)).withColumn("__drop", F.lit(None).cast("array<long>"))
+    else:  # each text brings the hashes that it has among those dropped
+        hashes = None
+        own = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("doc")).mapInArrow(_scan_lines, _LINES)
+        own = own.select("doc", "hash").distinct().join(drop, "hash", "left_semi").groupBy("doc").agg(F.collect_list("hash").alias("__drop"))
+        rows = docs.select(*keep, text).withColumn("doc__", F.xxhash64(F.col(text))).join(own.withColumnRenamed("doc", "doc__"), "doc__", "left").drop("doc__")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            gone: dict[int, set[int]] = {}
+            for i, _, raw, offs in _parts(batch, text):
+                which, number, _, _, _, whole, _, _, _ = _lines(raw, offs)
+                whole = whole.view(np.int64)
+                hit = np.isin(whole, hashes) if hashes is not None else np.array([w in set(batch.column("__drop")[i + int(d)].as_py() or ()) for d, w in zip(which, whole, strict=True)], bool)
+                for d, n in zip(which[hit], number[hit], strict=True):
+                    gone.setdefault(i + int(d), set()).add(int(n))
+            lines = [0 if x is None else x.count("\n") + 1 for x in texts]
+            for i, numbers in gone.items():
+                texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in numbers)
+            lost = [len(gone.get(i, ())) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], names=[*keep, text, "n_lines", "n_dropped"])
+
+    schema = [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{text}` string", "n_lines long", "n_dropped long"]
+    return rows.mapInArrow(run, ", ".join(schema)).select(*order, "n_lines", "n_dropped")
