@@ -171,7 +171,9 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
     """The frames in display order, each with the canvas as shown; GifError for anything malformed."""
     try:
         yield from _decode(data)
-    except (IndexError, struct.error) as e:
+    except GifError:
+        raise
+    except (IndexError, ValueError, struct.error) as e:
         raise GifError("the data end too early") from e
 
 
@@ -243,7 +245,7 @@ def colour_histogram(canvas: np.ndarray) -> np.ndarray:
 def store_gifs(rows: DataFrame, payload: str, gif: str = "gif") -> DataFrame:
     """``rows`` with the column ``payload`` replaced by ``gif``, its lossless GIF. Null payloads, or ones that are no positive multiple of the width, give null."""
     small_batches(rows.sparkSession, 256)
-    keep = [c for c in rows.columns if c != payload]
+    keep = [c for c in rows.columns if c not in (payload, gif)]
 
     def one(x: bytes | None) -> bytes | None:
         return encode_gif(x) if x and not len(x) % WIDTH else None
@@ -259,14 +261,14 @@ def store_gifs(rows: DataFrame, payload: str, gif: str = "gif") -> DataFrame:
 def gif_frames(rows: DataFrame, gif: str = "gif") -> DataFrame:
     """One row per frame of each GIF, a GIF's frames together and in order: the other columns
     of ``rows``, frame (from 0), start_ms, delay_ms, disposal, left, top, width, height, samples,
-    palette, histogram (65 counts of the canvas as shown), error.
+    palette, histogram (65 counts of the canvas as shown), error. Columns of these names are replaced.
 
     A null or malformed GIF gives, after the frames before the fault, one row with frame null
     and the fault in ``error``. An empty table gives no rows.
     """
     small_batches(rows.sparkSession, 256)
-    keep = [c for c in rows.columns if c != gif]
     own = ["frame", "start_ms", "delay_ms", "disposal", "left", "top", "width", "height", "samples", "palette", "histogram", "error"]
+    keep = [c for c in rows.columns if c != gif and c not in own]
 
     def frames(data: bytes | None) -> Iterator[tuple]:
         now = 0

@@ -2,8 +2,9 @@
 
 Labelled outcomes of pages (1 bad, 0 good) are summed by host. Bad shares shrink through
 beta-binomial priors: the whole table is the prior of each suffix, a suffix of its
-registered domains, a registered domain of its hosts. A prior's strength is that of a
-beta distribution with the between-group variance found by the method of moments. A page
+registered domains, a registered domain of its hosts, each without the pages in question.
+A prior's strength is that of a beta distribution with the between-group variance found by
+the method of moments, and at most the pages that it rests on. A page
 is blocked if the lower bound of its host's posterior, mean - z * standard deviation, is
 at least the threshold, so a few bad pages condemn no host.
 
@@ -52,16 +53,30 @@ def suffix_and_domain(host: Column) -> tuple[Column, Column]:
     return F.when(long, two).otherwise(last), F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _strength(groups: DataFrame, by: str, prior: DataFrame) -> DataFrame:
-    """``prior`` (by, mean) with k, the strength its groups (by, n, bad) suggest."""
+def _strength(groups: DataFrame, by: str, parents: DataFrame) -> DataFrame:
+    """(by, k): the prior strength that the spread of the groups (by, n, bad) about their parent's mean suggests."""
     # Moments: E[(bad/n - m)^2 n] = m (1 - m) (1 + (n - 1) / (k + 1)), summed over groups.
-    seen = groups.join(prior.select(by, "mean"), by).groupBy(by).agg(
+    mean = (F.col("m") * F.col("k") + F.col("bad")) / (F.col("k") + F.col("n"))
+    seen = groups.where("n > 0").select(by, "n", "bad").join(parents.select(by, mean.alias("mean")), by).groupBy(by).agg(
         F.sum((F.col("bad") / F.col("n") - F.col("mean")) ** 2 * F.col("n")).alias("s"), F.count("*").alias("g"), F.sum("n").alias("n"), F.first("mean").alias("m")
     )
     spread = F.greatest(F.col("m") * (1 - F.col("m")), F.lit(1e-6))
     rho = (F.col("s") / spread - F.col("g")) / F.greatest(F.col("n") - F.col("g"), F.lit(1))
     k = F.when(rho <= 1 / (MOST + 1), MOST).otherwise(F.least(F.lit(MOST), F.greatest(F.lit(LEAST), 1 / rho - 1)))
-    return prior.join(seen.select(by, k.alias("k")), by, "left").withColumn("k", F.coalesce("k", F.lit(MOST)))
+    return seen.select(by, k.alias("k"))
+
+
+def _shrink(groups: DataFrame, key: str, by: str, parents: DataFrame) -> DataFrame:
+    """``groups`` (key, by, n, bad) with their priors: mean m and strength k.
+
+    A group's prior is its parent's posterior without the group's own pages, and no stronger
+    than what that rests on, so that no page counts twice.
+    """
+    up = parents.join(_strength(groups, by, parents).withColumnRenamed("k", "spread"), by, "left")
+    up = up.select(by, F.col("m").alias("pm"), F.col("k").alias("pk"), F.col("n").alias("pn"), F.col("bad").alias("pbad"), F.coalesce("spread", F.lit(MOST)).alias("spread"))
+    rest = F.col("pk") + F.col("pn") - F.col("n")
+    m = (F.col("pm") * F.col("pk") + F.col("pbad") - F.col("bad")) / rest
+    return groups.join(up, by).select(*groups.columns, m.alias("m"), F.least(F.col("spread"), rest).alias("k"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
@@ -75,20 +90,13 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix", "all").agg(*sums)
     suffixes = domains.groupBy("suffix", "all").agg(*sums)
-    whole = suffixes.groupBy("all").agg(*sums).select("all", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("mean"))
-
-    def shrink(groups: DataFrame, key: str, by: str, prior: DataFrame) -> DataFrame:
-        """(key, by, n, bad, mean, size): the posterior beta's mean and size."""
-        given = _strength(groups.where("n > 0"), by, prior)
-        return groups.join(given.select(by, F.col("mean").alias("m"), "k"), by).select(
-            key, by, "n", ((F.col("m") * F.col("k") + F.col("bad")) / (F.col("k") + F.col("n"))).alias("mean"), (F.col("k") + F.col("n")).alias("size")
-        )
-
-    of_suffix = shrink(suffixes, "suffix", "all", whole)
-    of_domain = shrink(domains, "domain", "suffix", of_suffix.select("suffix", "mean"))
-    of_host = shrink(hosts, "host", "domain", of_domain.select("domain", "mean"))
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1))
-    return of_host.select("host", "n", "mean", (F.col("mean") - Z * deviation).alias("low"))
+    whole = suffixes.groupBy("all").agg(*sums).select("all", "n", "bad", F.lit(0.5).alias("m"), F.lit(2.0).alias("k"))
+    of_suffix = _shrink(suffixes, "suffix", "all", whole).drop("all")
+    of_domain = _shrink(domains.drop("all"), "domain", "suffix", of_suffix).drop("suffix")
+    of_host = _shrink(hosts.drop("all", "suffix"), "host", "domain", of_domain)
+    size = F.col("k") + F.col("n")
+    of_host = of_host.withColumn("mean", (F.col("m") * F.col("k") + F.col("bad")) / size)
+    return of_host.select("host", "n", "mean", (F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))).alias("low"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,14 +129,14 @@ def oracle_sql(rules: tuple[tuple[str, str], ...] = RULES, threshold: float = TH
         whens["ruled"].append(f"WHEN {fits} THEN '{what}'")
     long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
 
-    def level(name: str, groups: str, key: str, by: str, prior: str) -> str:
+    def level(name: str, groups: str, key: str, by: str, parents: str) -> str:
         return f"""
 {name}_s AS (SELECT g.{by}, sum((g.bad / g.n - p.mean) ** 2 * g.n) AS s, count(*) AS g, sum(g.n) AS n, any_value(p.mean) AS m
-  FROM {groups} g JOIN {prior} p USING ({by}) WHERE g.n > 0 GROUP BY g.{by}),
+  FROM {groups} g JOIN (SELECT {by}, (m * k + bad) / (k + n) AS mean FROM {parents}) p USING ({by}) WHERE g.n > 0 GROUP BY g.{by}),
 {name}_r AS (SELECT {by}, (s / greatest(m * (1 - m), 1e-6) - g) / greatest(n - g, 1) AS rho FROM {name}_s),
-{name}_k AS (SELECT p.{by}, p.mean, coalesce(CASE WHEN rho <= 1 / ({MOST} + 1) THEN {MOST} ELSE least({MOST}, greatest({LEAST}, 1 / rho - 1)) END, {MOST}) AS k
-  FROM {prior} p LEFT JOIN {name}_r USING ({by})),
-{name} AS (SELECT g.{key}, (k.mean * k.k + g.bad) / (k.k + g.n) AS mean, k.k + g.n AS size FROM {groups} g JOIN {name}_k k USING ({by}))"""
+{name}_k AS (SELECT p.{by}, p.m, p.k, p.n, p.bad, coalesce(CASE WHEN rho <= 1 / ({MOST} + 1) THEN {MOST} ELSE least({MOST}, greatest({LEAST}, 1 / rho - 1)) END, {MOST})::DOUBLE AS spread
+  FROM {parents} p LEFT JOIN {name}_r USING ({by})),
+{name} AS (SELECT g.*, (p.m * p.k + p.bad - g.bad) / (p.k + p.n - g.n) AS m, least(p.spread, p.k + p.n - g.n) AS k FROM {groups} g JOIN {name}_k p USING ({by}))"""
 
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -142,7 +150,8 @@ hosts AS (SELECT host, n, bad, 0 AS al, CASE WHEN array_to_string(p[-2:], '.') I
   CASE WHEN array_to_string(p[-2:], '.') IN ({long}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain FROM parts),
 domains AS (SELECT domain, suffix, al, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, al, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-whole AS (SELECT al, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM suffixes GROUP BY al),{level("of_suffix", "suffixes", "suffix", "al", "whole")},{level("of_domain", "domains", "domain", "suffix", "of_suffix")},{level("of_host", "hosts", "host", "domain", "of_domain")},
-low AS (SELECT host, round(mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)), 9) AS reputation FROM of_host)
+whole AS (SELECT al, sum(n) AS n, sum(bad) AS bad, 0.5::DOUBLE AS m, 2.0::DOUBLE AS k FROM suffixes GROUP BY al),{level("of_suffix", "suffixes", "suffix", "al", "whole")},{level("of_domain", "domains", "domain", "suffix", "of_suffix")},{level("of_host", "hosts", "host", "domain", "of_domain")},
+post AS (SELECT host, (m * k + bad) / (k + n) AS mean, k + n AS size FROM of_host),
+low AS (SELECT host, round(mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)), 9) AS reputation FROM post)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN reputation >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict, reputation
 FROM judged LEFT JOIN low USING (host)"""
