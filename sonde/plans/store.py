@@ -16,15 +16,23 @@ from pyspark.sql import types as T
 
 from ..errors import DimensionMismatch, StoreError
 
-FILES = T.StructType.fromDDL("file_id long, file_uri string, mime_type string, content_hash string, size_bytes long, indexed_at double, modified_at double")
-CHUNKS = T.StructType.fromDDL(
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<float>": T.ArrayType(T.FloatType()), "array<int>": T.ArrayType(T.IntegerType())}
+
+
+def _schema(fields: str) -> T.StructType:
+    """Names and types without a session, which Spark's own reader of such text needs."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, fields.split(", "))])
+
+
+FILES = _schema("file_id long, file_uri string, mime_type string, content_hash string, size_bytes long, indexed_at double, modified_at double")
+CHUNKS = _schema(
     "chunk_id long, file_id long, file_uri string, tier int, chunk_index long, content string, token_count long, meta string, lance_id long, structural_score double, coherence_score double, is_flagged boolean, chunker_method string"
 )
-EDGES = T.StructType.fromDDL("src_chunk long, dst_uri string, dst_uri_norm string, edge_type string, meta string")
-VECTORS = T.StructType.fromDDL("id long, chunk_id long, tier int, vector array<float>")
-POSTINGS = T.StructType.fromDDL("term string, chunk_id long, tf long, positions array<int>")
-LENGTHS = T.StructType.fromDDL("chunk_id long, dl long")
-DOCUMENTS = T.StructType.fromDDL("file_uri string, name string, mime_type string, size_bytes long, modified_at double, content binary, record_meta string")
+EDGES = _schema("src_chunk long, dst_uri string, dst_uri_norm string, edge_type string, meta string")
+VECTORS = _schema("id long, chunk_id long, tier int, vector array<float>")
+POSTINGS = _schema("term string, chunk_id long, tf long, positions array<int>")
+LENGTHS = _schema("chunk_id long, dl long")
+DOCUMENTS = _schema("file_uri string, name string, mime_type string, size_bytes long, modified_at double, content binary, record_meta string")
 SCHEMAS = {"files": FILES, "chunks": CHUNKS, "edges": EDGES, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "documents": DOCUMENTS}
 POINTER = "CURRENT"
 

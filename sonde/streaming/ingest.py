@@ -17,19 +17,19 @@ from ..sources.records import parse_lines, split_records
 def line_stream(spark: SparkSession, folder: str, files_per_batch: int = 128) -> DataFrame:
     """Lines of the text files that appear in ``folder``, with their file's time and name as order of arrival."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max(1, files_per_batch)).load(folder)
-    return lines.select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    return lines.select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
 
 
 def ingest_lines(batch: DataFrame, indexer: Indexer, bad_path: str | None = None) -> None:
-    """Index one batch of lines (value, at, file, place)."""
+    """Index one batch of lines (value, at, file, place: the order of lines in a file)."""
     arrival = F.struct("at", "file", "place")
     rows = batch.withColumn("arrival", arrival)
     parsed = parse_lines(rows.select("value"))
-    good, bad = split_records(parsed)
+    _, bad = split_records(parsed)
     if bad_path:
         bad.write.mode("append").parquet(bad_path)
-    ordered = rows.select(F.col("value").alias("line"), "arrival").dropDuplicates(["line"])
-    good = parsed.where("NOT is_bad").join(ordered, "line").drop("is_bad", "line")
+    ordered = rows.groupBy(F.col("value").alias("line")).agg(F.max("arrival").alias("arrival"))
+    good = parsed.where("NOT is_bad").dropDuplicates(["line"]).join(ordered, "line").drop("is_bad", "line")
     indexer.index_records(good, order="arrival")
 
 
@@ -37,11 +37,11 @@ def start_ingest(spark: SparkSession, folder: str, indexer: Indexer, checkpoint:
     """Follow ``folder``; with ``once`` stop when what is there has been taken in."""
 
     def batch(df: DataFrame, _: int) -> None:
-        df.persist()
+        lines = df.withColumn("place", F.monotonically_increasing_id()).persist()
         try:
-            ingest_lines(df, indexer, bad_path)
+            ingest_lines(lines, indexer, bad_path)
         finally:
-            df.unpersist()
+            lines.unpersist()
 
     writer = line_stream(spark, folder, files_per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
