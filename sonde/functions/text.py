@@ -96,10 +96,19 @@ def count_tokens(text: Column) -> Column:
 
 
 def budget_segments(text: Column, budget: int) -> Column:
-    """Consecutive pieces of at most ``budget`` tokens; exact where characters are single bytes. Blank text has none."""
-    n = budget * fixed.BYTES_PER_TOKEN
-    pieces = F.transform(F.sequence(F.lit(0), ((F.length(text) - 1) / n).cast("int")), lambda i: F.substring(text, i * n + 1, F.lit(n)))
-    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(pieces)
+    """Consecutive pieces of at most ``budget`` tokens that join to the text, never cut inside a character; blank text has none."""
+    n, raw, size = budget * fixed.BYTES_PER_TOKEN, text.cast("binary"), F.octet_length(text)
+    inside = lambda p: F.hex(F.substring(raw, p + 1, F.lit(1))).between("80", "BF")
+    back = lambda p: F.when(~inside(p), p).when(~inside(p - 1), p - 1).when(~inside(p - 2), p - 2).otherwise(p - 3)
+
+    def further(cuts: Column, _: Column) -> Column:
+        at = F.element_at(cuts, -1)
+        return F.when(at >= size, cuts).otherwise(F.concat(cuts, F.array(F.when(at + n >= size, size).otherwise(back(at + n)))))
+
+    single = F.transform(F.sequence(F.lit(0), ((size - 1) / n).cast("int")), lambda i: F.substring(text, i * n + 1, F.lit(n)))
+    cuts = F.aggregate(F.sequence(F.lit(0), ((size - 1) / (n - 3)).cast("int")), F.array(F.lit(0)), further)
+    many = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda c, i: F.substring(raw, c + 1, F.get(cuts, i + 1) - c).cast("string"))
+    return F.when(strip(text) == "", F.array().cast("array<string>")).when(size == F.length(text), single).otherwise(many)
 
 
 def name_tokens(text: Column) -> Column:

@@ -58,11 +58,7 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 
 def plain_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of plain texts (file_uri, name, mime_type, content STRING) without leaving the JVM.
-
-    Budgets count characters as bytes, so it is exact where all characters are single bytes; other texts
-    belong to ``chunk_documents``.
-    """
+    """Chunks of plain texts (file_uri, name, mime_type, content STRING) without leaving the JVM; the same as ``chunk_documents`` makes of them."""
     c = F.col("content")
     paragraphs = F.filter(F.transform(F.split(c, "\n\n", -1), text.strip), lambda p: p != "")
     tier1 = F.flatten(F.transform(paragraphs, lambda p: text.budget_segments(p, fixed.TIER1_TOKENS)))

@@ -50,31 +50,39 @@ def _values(rows: list[tuple]) -> str:
 
 FILES = """files AS (SELECT doc_id AS file_id, 'doc://' || doc_id AS file_uri, CAST(doc_id AS VARCHAR) AS name, 'text/plain' AS mime_type,
   md5(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size_bytes, CAST(doc_id AS DOUBLE) AS modified_at, text AS content FROM documents)"""
-PLAIN = """plain AS (SELECT * FROM files WHERE strlen(content) = length(content))"""
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-PIECES = "list_transform(range(0, CAST(ceil(length({0}) / {1}.0) AS BIGINT)), lambda i: substr({0}, i * {1} + 1, {1}))"
+BLANK = r"[\s\x0b\p{Z}\x{85}]"  # as Unicode has it
 
 
-def _pieces(x: str, budget: int) -> str:
-    n = budget * fixed.BYTES_PER_TOKEN
-    return f"CASE WHEN {STRIP.format(x)} = '' THEN [] ELSE {PIECES.format(x, n)} END"
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
 LINES = r"CASE WHEN content = '' THEN [] ELSE string_split(regexp_replace(content, '\n$', ''), chr(10)) END"
-CHUNKS = rf"""{FILES}, {PLAIN},
-paragraphs AS (SELECT file_id, file_uri, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda p: {STRIP.format("p")}), lambda p: p <> '') AS ps, content, name, mime_type, {LINES} AS lines FROM plain),
-tiered AS (SELECT file_id, file_uri, 1 AS tier, flatten(list_transform(ps, lambda p: {_pieces("p", fixed.TIER1_TOKENS)})) AS texts FROM paragraphs
-  UNION ALL SELECT file_id, file_uri, 2, {_pieces("content", fixed.TIER2_TOKENS)} FROM paragraphs
-  UNION ALL SELECT file_id, file_uri, 3, ['Document: ' || name || chr(10) || 'MIME: ' || mime_type || chr(10) || 'Estimated tokens: ' || greatest(1, strlen(content) // 3) || chr(10) || 'Lines: ' || len(lines) || chr(10) || 'Key headings: ' ||
-    coalesce(nullif(list_aggregate(list_transform(list_filter(lines, lambda x: regexp_matches(x, '^\s*#{{1,6}} '))[1:12], lambda x: {STRIP.format("x")}), 'string_agg', '; '), ''), '(none detected)')] FROM paragraphs),
-numbered AS (SELECT file_id, file_uri, tier, texts, unnest(range(0, len(texts))) AS chunk_index FROM tiered),
+
+
+def _cut(p: str) -> str:
+    """SQL for the last character boundary at or before byte ``p`` of the text with hex digits h and size."""
+    inside = lambda k: f"substr(h, CAST(2 * ({p} - {k}) + 1 AS BIGINT), 2) BETWEEN '80' AND 'BF'"
+    return f"CASE WHEN {p} >= size THEN size WHEN NOT {inside(0)} THEN {p} WHEN NOT {inside(1)} THEN {p} - 1 WHEN NOT {inside(2)} THEN {p} - 2 ELSE {p} - 3 END"
+
+
+CHUNKS = rf"""RECURSIVE {FILES},
+lined AS (SELECT *, {LINES} AS lines, string_split(content, chr(10) || chr(10)) AS ps FROM files),
+paragraphs AS (SELECT file_id, unnest(range(0, len(ps))) AS u, unnest(ps) AS p FROM lined),
+units AS (SELECT file_id, 1 AS tier, u, {_strip("p")} AS t, {fixed.TIER1_TOKENS * 3} AS n FROM paragraphs UNION ALL SELECT file_id, 2, 0, content, {fixed.TIER2_TOKENS * 3} FROM files),
+coded AS (SELECT file_id, tier, u, n, hex(encode(t)) AS h, CAST(strlen(t) AS BIGINT) AS size FROM units WHERE {_strip("t")} <> ''),
+cuts(file_id, tier, u, n, h, size, lo, hi) AS (SELECT *, CAST(0 AS BIGINT), CAST({_cut("n")} AS BIGINT) FROM coded
+  UNION ALL SELECT file_id, tier, u, n, h, size, hi, CAST({_cut("(hi + n)")} AS BIGINT) FROM cuts WHERE hi < size),
+parts AS (SELECT file_id, tier, row_number() OVER (PARTITION BY file_id, tier ORDER BY u, lo) - 1 AS chunk_index, decode(unhex(substr(h, 2 * lo + 1, 2 * (hi - lo)))) AS content FROM cuts
+  UNION ALL SELECT file_id, 3, 0, 'Document: ' || name || chr(10) || 'MIME: ' || mime_type || chr(10) || 'Estimated tokens: ' || greatest(1, strlen(content) // 3) || chr(10) || 'Lines: ' || len(lines) || chr(10) || 'Key headings: ' ||
+    coalesce(nullif(list_aggregate(list_transform(list_filter(lines, lambda x: regexp_matches(x, '^\s*#{{1,6}} '))[1:12], lambda x: {_strip("x")}), 'string_agg', '; '), ''), '(none detected)') FROM lined),
 chunks AS (SELECT CAST(('0x' || substr(sha256(file_uri || ':' || tier || ':' || chunk_index), 1, 15)) AS BIGINT) AS chunk_id, file_id, file_uri, tier, CAST(chunk_index AS BIGINT) AS chunk_index,
-  texts[chunk_index + 1] AS content, CAST(greatest(1, strlen(texts[chunk_index + 1]) // 3) AS BIGINT) AS token_count FROM numbered)"""
+  parts.content, CAST(greatest(1, strlen(parts.content) // 3) AS BIGINT) AS token_count FROM parts JOIN files USING (file_id))"""
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the documents whose characters are single bytes, with file_id."""
-    files = tables.ascii_only(_files(spark, sf_dir))
+    """Chunks of all documents, with file_id."""
+    files = _files(spark, sf_dir)
     return plain_chunks(files).join(files.select("file_uri", "file_id"), "file_uri")
 
 
@@ -130,7 +138,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunk_query(tier: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plain_chunks(tables.ascii_only(_files(spark, sf_dir))).where(F.col("tier") == tier).select("chunk_id", "file_uri", "chunk_index", "content", "token_count")
+        return plain_chunks(_files(spark, sf_dir)).where(F.col("tier") == tier).select("chunk_id", "file_uri", "chunk_index", "content", "token_count")
 
     return run
 
@@ -557,9 +565,9 @@ def _brackets_sql(x: str) -> str:
 
 CHECKS = rf"""{CHUNKS},
 checks AS (SELECT *, CASE WHEN token_count >= 15 AND (tier = 3 OR token_count < CASE tier WHEN 1 THEN 495 ELSE 1485 END) THEN 25 ELSE 0 END AS c_tokens,
-  CASE WHEN regexp_matches(content, '[.?!:"`]\s*$') THEN 25 ELSE 0 END AS c_ending, CASE WHEN {_brackets_sql("content")} = '' THEN 20 ELSE 0 END AS c_brackets,
-  CASE WHEN length(content) = 0 OR 5 * length(regexp_replace(content, '\S', '', 'g')) <= 2 * length(content) THEN 15 ELSE 0 END AS c_blanks,
-  CASE WHEN len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) = 0 OR 10 * len(list_distinct(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> ''))) >= 3 * len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) THEN 15 ELSE 0 END AS c_repeats FROM chunks),
+  CASE WHEN regexp_matches(content, '[.?!:"`]{BLANK}*$') THEN 25 ELSE 0 END AS c_ending, CASE WHEN {_brackets_sql("content")} = '' THEN 20 ELSE 0 END AS c_brackets,
+  CASE WHEN length(content) = 0 OR 5 * length(regexp_replace(content, '[^\s\x0b\p{{Z}}\x{{85}}]', '', 'g')) <= 2 * length(content) THEN 15 ELSE 0 END AS c_blanks,
+  CASE WHEN len(list_filter(regexp_split_to_array(content, '{BLANK}+'), lambda w: w <> '')) = 0 OR 10 * len(list_distinct(list_filter(regexp_split_to_array(content, '{BLANK}+'), lambda w: w <> ''))) >= 3 * len(list_filter(regexp_split_to_array(content, '{BLANK}+'), lambda w: w <> '')) THEN 15 ELSE 0 END AS c_repeats FROM chunks),
 scored AS (SELECT *, c_tokens + c_ending + c_brackets + c_blanks + c_repeats AS structural, c_tokens + c_ending + c_brackets + c_blanks + c_repeats <= 50 AS is_flagged FROM checks)"""
 
 
@@ -593,14 +601,14 @@ def score_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Files by source, of one of three types; chunks carry a method that is out of date for some.
 CATALOG = f"""{CHECKS},
-typed AS (SELECT DISTINCT file_id, file_uri, CASE file_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' ELSE 'text/x-log' END AS mime_type FROM plain),
+typed AS (SELECT DISTINCT file_id, file_uri, CASE file_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' ELSE 'text/x-log' END AS mime_type FROM files),
 made AS (SELECT s.*, t.mime_type, CASE WHEN s.file_id % 5 = 0 THEN NULL WHEN s.file_id % 2 = 0 THEN 'plaintext/v1' ELSE 'markdown/v1' END AS chunker_method FROM scored s JOIN typed t USING (file_id))"""
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(chunks with scores and methods, files)."""
     kinds = F.when(F.col("file_id") % 3 == 0, "text/plain").when(F.col("file_id") % 3 == 1, "text/markdown").otherwise("text/x-log")
-    files = tables.ascii_only(_files(spark, sf_dir)).withColumn("mime_type", kinds)
+    files = _files(spark, sf_dir).withColumn("mime_type", kinds)
     method = F.when(F.col("file_id") % 5 == 0, F.lit(None)).when(F.col("file_id") % 2 == 0, "plaintext/v1").otherwise("markdown/v1")
     return _scored(spark, sf_dir).withColumn("chunker_method", method), files
 
@@ -643,9 +651,9 @@ def file_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.file_detail(_files(spark, sf_dir), _plain(spark, sf_dir)).select("file_uri", "size_bytes", "t1", "t2", "t3", "t1_tokens")
 
 
-@query(f"WITH {CHUNKS} SELECT tier, chunk_index, token_count FROM chunks WHERE file_uri = (SELECT min(file_uri) FROM plain)")
+@query(f"WITH {CHUNKS} SELECT tier, chunk_index, token_count FROM chunks WHERE file_uri = (SELECT min(file_uri) FROM files)")
 def chunks_for_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tables.ascii_only(_files(spark, sf_dir))
+    files = _files(spark, sf_dir)
     uri = files.agg(F.min("file_uri")).first()[0]
     return metadata.chunks_of_file(_plain(spark, sf_dir), files, uri).select("tier", "chunk_index", "token_count") if uri else _plain(spark, sf_dir).select("tier", "chunk_index", "token_count")
 
@@ -699,18 +707,28 @@ def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.file_info(_files(spark, sf_dir), chunks).select("file_uri", "has_pending")
 
 
-# --- maintenance: two states of the documents, by the remainder of the id
+# --- maintenance: two states. Stored are documents and turns; listed are documents and pages. Labels say what
+# changed since: documents of quality 0 have new contents, toxic ones chunks not embedded, those of src0 a new time.
 
-STATES = f"""{FILES}, stored AS (SELECT file_id, file_uri, content_hash, CASE WHEN file_id % 4 = 1 THEN modified_at - 1 ELSE modified_at END AS modified_at, file_id % 7 = 0 AS has_pending FROM files WHERE file_id % 3 <> 0),
-listed AS (SELECT file_uri, modified_at, CASE WHEN file_id % 8 = 1 THEN 'changed' ELSE content_hash END AS content_hash FROM files WHERE file_id % 5 <> 0)"""
+STATES = f"""{FILES}, about AS (SELECT doc_id AS file_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+known AS (SELECT f.*, coalesce(quality, 1) AS quality, coalesce(toxic, 0) AS toxic, source FROM files f JOIN (SELECT doc_id AS file_id, source FROM documents) USING (file_id) LEFT JOIN about USING (file_id)),
+stored AS (SELECT file_uri, content_hash, modified_at, toxic = 1 AS has_pending FROM known UNION ALL SELECT 'conv://' || conv_id || '/' || turn, md5(coalesce(text, '')), 0.0, false FROM conversations),
+listed AS (SELECT file_uri, CASE WHEN quality = 0 OR source = 'src0' THEN modified_at + 1 ELSE modified_at END AS modified_at, CASE WHEN quality = 0 THEN 'changed' ELSE content_hash END AS content_hash FROM known
+  UNION ALL SELECT 'page://' || page_id, 0.0, md5(html) FROM pages)"""
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(listed, stored)."""
-    f, i = _files(spark, sf_dir), F.col("file_id")
-    stored = f.where(i % 3 != 0).withColumn("modified_at", F.when(i % 4 == 1, F.col("modified_at") - 1).otherwise(F.col("modified_at"))).withColumn("has_pending", i % 7 == 0)
-    listed = f.where(i % 5 != 0).withColumn("content_hash", F.when(i % 8 == 1, "changed").otherwise(F.col("content_hash")))
-    return listed, stored.select("file_id", "file_uri", "content_hash", "modified_at", "has_pending")
+    about = _read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("file_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    source = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "source")
+    known = _files(spark, sf_dir).join(source, "file_id").join(about, "file_id", "left").na.fill({"quality": 1, "toxic": 0})
+    turns = tables.turn_records(_read(spark, sf_dir, "conversations"))
+    turns = turns.select(F.col("uri").alias("file_uri"), F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("content_hash"), F.lit(0.0).alias("modified_at"), F.lit(False).alias("has_pending"))
+    stored = known.select("file_uri", "content_hash", "modified_at", (F.col("toxic") == 1).alias("has_pending")).unionByName(turns)
+    moved = (F.col("quality") == 0) | (F.col("source") == "src0")
+    listed = known.select("file_uri", F.when(moved, F.col("modified_at") + 1).otherwise(F.col("modified_at")).alias("modified_at"), F.when(F.col("quality") == 0, "changed").otherwise(F.col("content_hash")).alias("content_hash"))
+    pages = _read(spark, sf_dir, "pages").select(F.concat(F.lit("page://"), "page_id").alias("file_uri"), F.lit(0.0).alias("modified_at"), F.md5(F.col("html").cast("binary")).alias("content_hash"))
+    return listed.unionByName(pages), stored
 
 
 @query(
@@ -721,10 +739,10 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.change_detection(*_states(spark, sf_dir)).select("file_uri", "action")
 
 
-@query(f"WITH {STATES} SELECT file_uri FROM stored WHERE starts_with(file_uri, 'doc://') AND file_uri NOT IN (SELECT file_uri FROM listed)")
+@query(f"WITH {STATES} SELECT file_uri FROM stored WHERE starts_with(file_uri, 'conv://') AND file_uri NOT IN (SELECT file_uri FROM listed)")
 def prune_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed, stored = _states(spark, sf_dir)
-    return maintenance.stale_uris(stored, listed, "doc:/")
+    return maintenance.stale_uris(stored, listed, "conv:/")
 
 
 @query(f"WITH {STATES} SELECT file_uri, content_hash FROM stored WHERE file_uri NOT IN (SELECT file_uri FROM listed) UNION ALL SELECT file_uri, content_hash FROM listed")
@@ -767,20 +785,19 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as lines of JSON; every seventh lacks its content, every eleventh is not JSON."""
+    """Turns as lines of JSON; those of the system lack their content, second turns are not JSON."""
     c = _read(spark, sf_dir, "conversations")
-    i = F.col("conv_id") * 100 + F.col("turn")
-    full = F.to_json(F.struct(F.concat_ws("/", F.lit("conv:/"), "conv_id", "turn").alias("uri"), F.when(i % 7 != 0, F.coalesce("text", F.lit(""))).alias("content"), F.lit("text/plain; charset=utf-8").alias("mime_type"), F.struct("conv_id", "turn", "role").alias("meta")))
-    return c.select(F.when(i % 11 == 0, F.concat(F.lit("not json "), i)).otherwise(full).alias("value"))
+    full = F.to_json(F.struct(F.concat_ws("/", F.lit("conv:/"), "conv_id", "turn").alias("uri"), F.when(F.col("role") != "system", F.coalesce("text", F.lit(""))).alias("content"), F.lit("text/plain; charset=utf-8").alias("mime_type"), F.struct("conv_id", "turn", "role").alias("meta")))
+    return c.select(F.when(F.col("turn") == 1, F.concat(F.lit("not json "), "conv_id")).otherwise(full).alias("value"))
 
 
-@query("SELECT 'conv://' || conv_id || '/' || turn AS file_uri, 'text/plain' AS mime_type, CAST(turn AS VARCHAR) AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes FROM conversations WHERE (conv_id * 100 + turn) % 7 <> 0 AND (conv_id * 100 + turn) % 11 <> 0")
+@query("SELECT 'conv://' || conv_id || '/' || turn AS file_uri, 'text/plain' AS mime_type, CAST(turn AS VARCHAR) AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes FROM conversations WHERE role <> 'system' AND turn <> 1")
 def ingest_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = records.split_records(records.parse_lines(_lines(spark, sf_dir)))
     return records.as_documents(good).select("file_uri", "mime_type", "name", "size_bytes")
 
 
-@query("SELECT count(*) AS bad FROM conversations WHERE (conv_id * 100 + turn) % 7 = 0 OR (conv_id * 100 + turn) % 11 = 0")
+@query("SELECT count(*) AS bad FROM conversations WHERE role = 'system' OR turn = 1")
 def ingest_malformed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.split_records(records.parse_lines(_lines(spark, sf_dir)))[1].agg(F.count("*").alias("bad"))
 

@@ -36,11 +36,6 @@ def page_files(pages: DataFrame) -> DataFrame:
     )
 
 
-def ascii_only(files: DataFrame) -> DataFrame:
-    """Files whose characters are single bytes, for which native budget cuts are exact."""
-    return files.where(F.octet_length("content") == F.length("content"))
-
-
 def turn_records(conversations: DataFrame) -> DataFrame:
     meta = F.to_json(F.struct("conv_id", "turn", "role"))
     return conversations.select(

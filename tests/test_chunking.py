@@ -131,3 +131,18 @@ def test_windows_join_to_the_text(kind):
     if kind != "csv":
         assert "".join(c[2] for c in tier(r, 2)) == text
     assert [c[1] for c in tier(r, 1)] == list(range(len(tier(r, 1))))
+
+
+def test_native_chunks_equal_the_parsers(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sonde.operators.chunking import plain_chunks
+    from sonde.sources.tables import document_files
+
+    docs = document_files(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("file_uri", "name", "mime_type", "content")
+    more = spark.createDataFrame([("m1", "m", "text/plain", "é€😀" * 900 + "\n\n \n\n x\n"), ("m2", "m", "text/plain", " \n "), ("m3", "m", "text/plain", ""), ("m4", "m", "text/plain", "## H\r\n\r\nb")], docs.schema)
+    docs = docs.unionByName(more)
+    columns = ["chunk_id", "tier", "chunk_index", "content", "token_count"]
+    native = plain_chunks(docs).select(*columns).withColumn("tier", F.col("tier").cast("int"))
+    parsed = chunk_documents(docs).select(*columns)
+    assert native.exceptAll(parsed).collect() == [] and parsed.exceptAll(native).collect() == []
