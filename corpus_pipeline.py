@@ -24,25 +24,39 @@ LEAST_CONFIDENCE = 0.4
 REJECTED_ROWS = 2_000_000
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that nothing an operator adds can clash with, and the new name of each column."""
+    names = {c: f"doc_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score as toxic; learns from the labels of the folds that op4 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels.where(fold(3) != 1))
-    return score_toxicity(docs, model, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(*docs.columns)
+    plain, names = _plain(docs)
+    return _back(score_toxicity(plain, model, tuple(names.values()), names["text"]).where(F.col("score") < TOXIC), names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in no learnt language; a null lang becomes the prediction."""
     model = train_languages(docs.where(fold(4) != 2))
-    named = identify_languages(docs, model, keep=tuple(docs.columns))
+    plain, names = _plain(docs)
+    named = identify_languages(plain, model, tuple(names.values()), names["text"])
     named = named.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < LEAST_CONFIDENCE)))
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _back(named.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred")), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that recur across them; n_chars follows the text."""
-    cleaned = drop_recurring_lines(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    plain, names = _plain(docs)
+    cleaned = drop_recurring_lines(plain, names["text"])
+    n_chars = F.when(F.col("n_dropped") > 0, F.length(names["text"]).cast("long")).otherwise(F.col(names["n_chars"]))
+    return _back(cleaned.withColumn(names["n_chars"], n_chars), names)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +64,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rejected = materialize(near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash").distinct(), "pipeline-rejected")
     if rejected.count() <= REJECTED_ROWS:
         rejected = F.broadcast(rejected)
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(rejected, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    plain, names = _plain(docs)
+    keyed = plain.withColumns({"doc_id": F.col(names["doc_id"]).cast("long"), "text_hash": F.xxhash64(names["text"])})
+    return _back(keyed.join(rejected, ["doc_id", "text_hash"], "left_anti"), names)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,14 +55,17 @@ def doc_grams(text: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], bits
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
     """Weights of an L2-regularised logistic regression by Newton's method; the last is the intercept, which is not penalised."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    w, penalty = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-6
+    curve = np.empty((len(w), len(w)))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        change = np.linalg.solve(curve, gradient)
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
+        off, turn = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
+        gradient = np.append(x.T @ off.astype(x.dtype), off.sum()) + penalty * w
+        curve[:-1, :-1] = sum((x[i : i + 1024] * turn[i : i + 1024, None]).T @ x[i : i + 1024] for i in range(0, len(x), 1024))
+        curve[-1, :-1] = curve[:-1, -1] = x.T @ turn.astype(x.dtype)
+        curve[-1, -1] = turn.sum()
+        change = np.linalg.solve(curve + np.diag(penalty), gradient)
         w -= change * min(1.0, 8 / max(1e-9, np.abs(change).max()))
         if np.abs(change).max() < 1e-4:
             break

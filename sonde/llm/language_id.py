@@ -65,12 +65,12 @@ def _shares(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights for each column of y (-1, 1), by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    rate = 1 / (0.25 * max(1e-6, np.linalg.norm(x.T @ x, 2) / len(x) if x.shape[1] <= 64 else _top(x) / len(x)) + RIDGE)
-    w = v = np.zeros((x.shape[1], y.shape[1]))
+    rate = 1 / (0.25 * (max(1e-6, _top(x) / len(x)) + 1) + RIDGE)
+    w = v = np.zeros((x.shape[1] + 1, y.shape[1]))  # the last row: intercepts
     for t in range(STEPS):
-        slope = -y / (1 + np.exp(np.clip(y * (x @ v.astype(x.dtype)), -30, 30)))
-        new = v - rate * (x.T @ slope.astype(x.dtype) / len(x) + RIDGE * v)
+        slope = -y / (1 + np.exp(np.clip(y * (x @ v[:-1].astype(x.dtype) + v[-1]), -30, 30)))
+        down = np.vstack([x.T @ slope.astype(x.dtype), slope.sum(0)])
+        new = v - rate * (down / len(x) + RIDGE * v)
         w, v = new, new + t / (t + 3) * (new - w)
     return w
 
@@ -99,17 +99,19 @@ def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(batch.column("text"))
-            out = [v.tobytes() for _, _, t, s in blocks(raw, offs) for v in _shares(t, s)]
+            out = [v.tobytes() for _, _, t, s in blocks(raw, offs) for v in _shares(t, s).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "x"])
 
-    got = picked.mapInArrow(vectors, "lang string, x binary").toPandas().sort_values(["lang", "x"])  # about MAX_TRAIN rows of 16 KB
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)
+    got = picked.mapInArrow(vectors, "lang string, x binary").toPandas().sort_values(["lang", "x"])  # about MAX_TRAIN rows of 8 KB
+    x = np.empty((len(got), 1 << BITS), np.float32)
+    for row, raw in zip(x, got.pop("x"), strict=True):
+        row[:] = np.frombuffer(raw, np.float16)
     y = code[np.searchsorted(languages, got["lang"].to_numpy(str))]
     return LanguageModel(languages, code, _fit(x, y))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns, lang_pred, score and ambiguous of every row.
+    """The ``keep`` columns (none of them named like a result), lang_pred, score and ambiguous of every row.
 
     Null text and text without a letter, or any text under a model without languages: ``und``,
     score 0, ambiguous. Else the language of least loss; score is its share of exp(-loss).

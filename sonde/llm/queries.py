@@ -32,8 +32,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def fold(folds: int) -> Column:
-    """crc32 of the doc_id as text, modulo ``folds``."""
-    return F.crc32(F.col("doc_id").cast("string")) % folds
+    """crc32 of the doc_id as text, modulo ``folds``; 0 for a null one."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(0))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

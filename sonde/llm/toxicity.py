@@ -107,13 +107,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     got = rows.mapInArrow(vectors, "label int, x binary").toPandas()  # about MAX_TRAIN rows of FEATURES bytes
     x = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(-1, width)
     order = np.lexsort((*x.T[:8], got["label"]))  # the same fit whatever order the rows came in
-    x, y = x[order].astype(np.float64), got["label"].to_numpy()[order]
-    w = logistic(x * r, y, np.ones(len(y)), RIDGE)
+    y = got["label"].to_numpy()[order].astype(np.float64)
+    w = logistic(x[order] * r.astype(np.float32), y, np.ones(len(y)), RIDGE)
     return ToxicityModel(buckets, w[:-1] * r, float(w[-1] - np.log(rate[1] / rate[0])))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns and score (0 to 1) of every row; null and empty texts get the score of no n-gram at all."""
+    """The ``keep`` columns (none of them named like a result) and score (0 to 1) of every row; null and empty texts get the score of no n-gram at all."""
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     table, width, weights, bias = model.table(), max(1, len(model.buckets)), model.weights, model.bias
