@@ -9,7 +9,7 @@ is blocked if the lower bound of its host's posterior, mean - z * standard devia
 at least the threshold, so a few bad pages condemn no host.
 
 Only DataFrame functions; counts are pre-aggregated, so a host that owns a third of all
-pages costs one row per task.
+pages costs one row per task. Each level is written before the next, which keeps plans small.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 #: Rules of the registered query: (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Public suffixes of two labels; a registered domain has one label more than its suffix.
@@ -86,13 +88,13 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     """
     suffix, domain = suffix_and_domain(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain).withColumn("all", F.lit(0))
+    hosts = materialize(hosts.withColumn("suffix", suffix).withColumn("domain", domain).withColumn("all", F.lit(0)), "url-hosts")
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix", "all").agg(*sums)
     suffixes = domains.groupBy("suffix", "all").agg(*sums)
     whole = suffixes.groupBy("all").agg(*sums).select("all", "n", "bad", F.lit(0.5).alias("m"), F.lit(2.0).alias("k"))
-    of_suffix = _shrink(suffixes, "suffix", "all", whole).drop("all")
-    of_domain = _shrink(domains.drop("all"), "domain", "suffix", of_suffix).drop("suffix")
+    of_suffix = materialize(_shrink(suffixes, "suffix", "all", whole).drop("all"), "url-suffixes")
+    of_domain = materialize(_shrink(domains.drop("all"), "domain", "suffix", of_suffix).drop("suffix"), "url-domains")
     of_host = _shrink(hosts.drop("all", "suffix"), "host", "domain", of_domain)
     size = F.col("k") + F.col("n")
     of_host = of_host.withColumn("mean", (F.col("m") * F.col("k") + F.col("bad")) / size)
