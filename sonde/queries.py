@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed, text, vectors
+from .functions.register import register_all
 from .operators import bm25, fusion, knn, maintenance, metadata, quality
 from .operators.chunking import chunk_documents, plain_chunks
 from .operators.embed import HashEmbedder
@@ -86,6 +87,10 @@ def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_chunks(files).join(files.select("file_uri", "file_id"), "file_uri")
 
 
+MEANS = """parts AS (SELECT CAST(label AS BIGINT) AS file_id, CAST(vec_id % 3 + 1 AS INTEGER) AS tier, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+means AS (SELECT file_id, tier, i, avg(x) AS x FROM parts GROUP BY 1, 2, 3)"""
+
+
 # --- sources and identity
 
 
@@ -252,6 +257,32 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(pages).groupBy("tier").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
+SOURCES = [
+    ("a.rs", "text/x-rust", "use x;\n\npub struct P {\n    x: f64,\n}\n\nimpl P {\n    fn n() {}\n}\n\nfn main() {}\n"),
+    ("b.tsx", "text/typescript", "import R from 'r';\n\nexport const B = () => {\n  return 1;\n};\n\nexport function H() {\n}\n"),
+    ("c.md", "text/markdown", "---\ntitle: T\n---\n# A\n\ntext [l](d.md)\n\n## B\n\nmore\n"),
+    ("d.csv", "text/csv", "Name,Age\nAlice,30\nBob,25\n"),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('a.rs', 1, 4), ('a.rs', 2, 1), ('a.rs', 3, 1), ('b.tsx', 1, 3), ('b.tsx', 2, 1), ('b.tsx', 3, 1), ('c.md', 1, 2), ('c.md', 2, 1), ('c.md', 3, 1), ('d.csv', 1, 2), ('d.csv', 2, 1), ('d.csv', 3, 1)) t(name, tier, n)"""
+)
+def source_code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one source of each kind, by the table function."""
+    register_all(spark)
+    spark.createDataFrame(SOURCES, "name string, mime string, content string").createOrReplaceTempView("sonde_sources")
+    return spark.sql("SELECT name, tier, CAST(count(*) AS INT) AS n FROM sonde_sources, LATERAL sonde_chunks(CAST(content AS BINARY), mime, name, name) GROUP BY name, tier")
+
+
+@query(f"WITH {MEANS} SELECT file_id AS label, i - 1 AS i, round(avg(x), 6) AS x FROM parts GROUP BY 1, 2")
+def mean_vector_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_all(spark)
+    _read(spark, sf_dir, "embeddings").createOrReplaceTempView("sonde_embeddings")
+    means = spark.sql("SELECT CAST(label AS BIGINT) AS label, sonde_mean_vector(embedding) AS v FROM sonde_embeddings GROUP BY label")
+    return means.select("label", F.posexplode("v").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
 # --- full text
 
 
@@ -406,10 +437,6 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(other, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
-MEANS = """parts AS (SELECT CAST(label AS BIGINT) AS file_id, CAST(vec_id % 3 + 1 AS INTEGER) AS tier, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
-means AS (SELECT file_id, tier, i, avg(x) AS x FROM parts GROUP BY 1, 2, 3)"""
-
-
 @query(f"WITH {MEANS} SELECT file_id, tier, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM means")
 def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.parent_means(_vectors(spark, sf_dir))

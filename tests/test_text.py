@@ -131,3 +131,16 @@ def test_porter_against_sqlite(sf_dir):
 
 def test_fixed_lists_have_their_sizes():
     assert len(fixed.STOP_WORDS) == len(set(fixed.STOP_WORDS)) and len(fixed.MIME_BY_EXT) == 40 and fixed.IGNORED_EXTS.count(".parquet") == 1
+
+
+def test_registered_functions(spark):
+    from sonde.functions.register import balanced, parser_name, register_all
+
+    register_all(spark)
+    row = spark.sql("SELECT sonde_porter('Running') AS p, sonde_fold('Ångström') AS f, sonde_count_tokens('abcdef') AS n, sonde_decode(X'EFBBBF61') AS d, sonde_balanced('([{}])') AS b, size(sonde_embed('a b')) AS e").first()
+    assert tuple(row) == ("run", "angstrom", 2, "a", True, 64)
+    assert not balanced("(]") and not balanced("(") and balanced("a<b")
+    mimes = ["text/plain", "TEXT/Markdown; x=y", "application/pdf", "image/png", "text/x-rust", "text/x-python", "application/javascript", "text/csv", "application/vnd.ms-excel", "application/json"]
+    rows = spark.createDataFrame([(m,) for m in mimes], "m string").select("m", text.parser_for(text.normal_mime(F.col("m"))).alias("p")).collect()
+    assert all(parser_name(r["m"]) == r["p"] for r in rows)
+    assert spark.sql("SELECT c.tier FROM VALUES (X'FF00') AS t(x), LATERAL sonde_chunks(x, 'application/vnd.ms-excel', 'n', 'u') c").collect() == []
