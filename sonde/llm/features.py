@@ -8,6 +8,9 @@ import numpy as np
 
 from .kernels import gram_buckets, runs
 
+#: Bytes of text handled at once; n-grams take about 50 bytes of memory for each.
+BLOCK = 1 << 20
+
 #: ASCII letters in lower case, bytes of other scripts as they are, all else a space.
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
@@ -27,13 +30,13 @@ def padded(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(raw: np.ndarray, offs: np.ndarray, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, padded bytes, starts) for blocks of few rows and bytes."""
-    for i, j in runs(offs):
+    for i, j in runs(offs, BLOCK):
         for a in range(i, j, rows):
             b = min(a + rows, j)
             yield a, b, *padded(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
 
 
-def doc_grams(text: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], bits: int, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def doc_grams(text: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], bits: int, step: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) of every n-gram that lies within one text and its two spaces.
 
     Long texts come in steps of bounded memory; n-grams across a step's edge are kept.

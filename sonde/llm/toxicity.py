@@ -57,9 +57,9 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offs = utf8(batch.column("text"))
         label = batch.column("label").to_numpy(zero_copy_only=False)
         for a, b, text, starts in blocks(raw, offs, 64):
-            parts = [row.astype(np.int64) << BITS | bucket for row, bucket in doc_grams(text, starts, SIZES, BITS)]
-            key = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-            np.add.at(seen, (label[a:b][key >> BITS], key & ((1 << BITS) - 1)), 1)
+            for row, bucket in doc_grams(text, starts, SIZES, BITS):
+                key = np.unique(row.astype(np.int64) << BITS | bucket)
+                np.add.at(seen, (label[a:b][key >> BITS], key & ((1 << BITS) - 1)), 1)
     used = np.flatnonzero(seen.any(0))
     for i in range(0, len(used), 65536):
         u = used[i : i + 65536]
