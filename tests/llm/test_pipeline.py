@@ -36,3 +36,19 @@ def test_one_of_each_group_stays(spark, sf_dir):
         assert {x["doc_id"] for x in cp.minhash_dedup(spark, docs, sf_dir).collect()} == kept
     finally:
         cp.REJECTED_ROWS = old
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 3 == 0)) for i in range(12)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, f"the words of document number {i}\nsecond line" if i != 4 else None, "en" if i % 4 else None, "s", 9, 0.5, "x", "y") for i in range(10)] + [(None, "the words of nobody", "de", "s", 1, 0.5, "x", "y"), (3, "", "en", "s", 0, 0.5, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, text_hash string")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= docs.count()
+        assert out.where("score <> 0.5 OR lang_pred <> 'x' OR text_hash <> 'y'").count() == 0
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert cp.line_dedup(spark, docs, str(tmp_path)).where(F.col("text").isNull()).count() == 1
+    assert cp.packing(spark, docs, str(tmp_path)).count() == len(rows)
