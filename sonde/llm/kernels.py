@@ -113,7 +113,7 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = 5) -> Iterator[
     n = np.diff(first)
     full = np.zeros(max(0, len(h) - width + 1), U64)
     for k in range(width):
-        full += h[k : len(h) - width + 1 + k] * _SHIFT[k]
+        full += h[k : k + len(full)] * _SHIFT[k]
     full = mix(full)
     for i in range(len(n)):
         if n[i] >= width:

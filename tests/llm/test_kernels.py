@@ -40,6 +40,12 @@ def test_long_texts_are_cut_only_at_white_space(monkeypatch):
     assert np.array_equal(whole, parts) and np.array_equal(first, again)
 
 
+def test_blocks_with_fewer_words_than_a_shingle():
+    for texts in (["1 1 1"], [""], [None, "a"], ["a b c d"]):
+        raw, offs = kernels.utf8(pa.array(texts, pa.string()))
+        assert [len(s) for s in kernels.shingle_sets(raw, offs)] == [len(shingles(t)) for t in texts]
+
+
 def test_sliced_and_null_columns():
     column = pa.array(["drop", None, "a b c", ""]).slice(1)
     raw, offs = kernels.utf8(column)
