@@ -27,7 +27,8 @@ def test_one_of_each_group_stays(spark, sf_dir):
         near = list(base)
         near[i] = "edit"
         rows.append((i, " ".join(near), "en", "s", 1))
-    rows += [(i, " ".join(words(50)), "en", "s", 1) for i in range(20, 30)] + [(30, rows[25][1], None, "s", 1), (31, None, "en", "s", None)]
+    rows += [(i, " ".join(words(50)), "en", "s", 1) for i in range(20, 30)]
+    rows += [(30, rows[25][1], None, "s", 1), (31, None, "en", "s", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x["doc_id"] for x in cp.minhash_dedup(spark, docs, sf_dir).collect()}
     assert kept == {0, *range(20, 30), 31}
