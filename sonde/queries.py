@@ -551,7 +551,7 @@ def t3_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Plain SQL has no look-behind: capitals are split by a list of letters.
 NAME_TOKENS = r"list_filter(regexp_split_to_array(replace(replace(replace(replace(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), 'c++', ' cpp '), 'c#', ' csharp '), 'f#', ' fsharp '), '.net', ' dotnet '), '[^a-z0-9]+'), lambda t: length(t) >= 3)"
-IDENTIFIERS = ["C++", "C#", "F# parser", "ASP.NET core", "RecFileSearch", "ASTChunker", "hybridRetriever", "incremental_indexer", "a b cd", ""]
+IDENTIFIERS = ["C++", "C#", "F# parser", "ASP.NET core", "RowFileSearch", "ASTChunker", "hybridRetriever", "incremental_indexer", "a b cd", ""]
 
 
 @query(f"WITH i(name) AS (VALUES {_values([(x,) for x in IDENTIFIERS])}) SELECT name, coalesce(list_aggregate({NAME_TOKENS.format('name')}, 'string_agg', ' '), '') AS tokens FROM i")

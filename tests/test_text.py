@@ -19,7 +19,7 @@ def test_stable_ids(spark, tier, index, want):
 
 @pytest.mark.parametrize(
     "name,tokens",
-    [("C++", ["cpp"]), ("C#", ["csharp"]), ("F# parser", ["fsharp", "parser"]), ("ASP.NET core", ["asp", "dotnet", "core"]), ("RecFileSearch", ["rec", "file", "search"]), ("ASTChunker", ["ast", "chunker"]), ("hybridRetriever", ["hybrid", "retriever"])],
+    [("C++", ["cpp"]), ("C#", ["csharp"]), ("F# parser", ["fsharp", "parser"]), ("ASP.NET core", ["asp", "dotnet", "core"]), ("RowFileSearch", ["row", "file", "search"]), ("ASTChunker", ["ast", "chunker"]), ("hybridRetriever", ["hybrid", "retriever"])],
 )
 def test_name_tokens(spark, name, tokens):
     assert one(spark, text.name_tokens(F.lit(name))) == tokens
@@ -34,7 +34,7 @@ def test_path_coverage(spark):
     q = lambda s: text.name_tokens(F.lit(s))
     for uri in ("C:\\x\\src\\incremental_indexer.py", "/x/src/incremental_indexer.py"):
         assert one(spark, text.path_coverage(F.lit(uri), q("incremental indexing merkle tree drift detection"))) == 1.0
-    assert one(spark, text.path_coverage(F.lit("/a/RecFileSearch.py"), q("recursive file search walker"))) == pytest.approx(2 / 3)
+    assert one(spark, text.path_coverage(F.lit("/a/RowFileSearch.py"), q("recursive file search walker"))) == pytest.approx(2 / 3)
     assert one(spark, text.path_coverage(F.lit("/a/other.py"), q("recursive file"))) == 0.0
     assert one(spark, text.path_coverage(F.lit("/a/other.py"), q(""))) == 0.0
 
