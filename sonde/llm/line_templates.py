@@ -7,12 +7,19 @@ place; other places are variable fields. (Drain compares lines with a leaf's clu
 by one; support per place gives the same generalisation as counts, whatever the order of
 lines, and never gathers a leaf.) A template is kept if at least half its tokens are fixed.
 
-A template that recurs across documents is boilerplate, and its lines are dropped. Documents
-that are copies of each other are not evidence: each document has six min-hashes of its
-three-word shingles; documents that share two of the commonest values count once together
-(one of them the line itself may cause), and the rest must be mostly different and no
-negligible part of all. Whole copies are for
-near-duplicate removal, which keeps one of them whole.
+A template that recurs across documents is boilerplate, and its lines are dropped. Copies of a
+document are not evidence: documents whose sets of three-word shingles are alike (``SKETCHES``
+min-hashes; banded, then compared in full with the pivot of each bucket; ``ALIKE`` of them
+must be equal, so that hardly a pair at similarity 0.7 is missed, and two documents that share
+less than about 3/4 of their words are not joined) form a group, and a group has one vote, however large it
+is. A template needs ``MIN_DOCS`` votes. Whole copies are for near-duplicate removal, which
+keeps one of them whole.
+
+A long exact repeat needs no such support: a line goes if it lies wholly in a run of ``LONG`` or
+more words, wherever its lines break, that ``LONG_DOCS`` votes hold word for word. Candidates
+are runs of ``GRAM`` words picked by winnowing (Schleimer et al. 2003), which picks one in every
+``LONG`` words, the same in all texts; around those that recur, all windows of ``LONG`` words are
+compared. Lines that a passage covers in part stay, and so does a passage inside one line.
 """
 
 from __future__ import annotations
@@ -24,19 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .kernels import U64, mix, runs, utf8, word_table
 from .scratch import materialize, small_batches
 
-LEADING, MIN_DOCS, FIXED_SHARE, DIFFERENT, PART = 3, 10, 0.5, 0.5, 0.01
-SKETCHES = ("s1", "s2", "s3", "s4", "s5", "s6")
+LEADING, MIN_DOCS, FIXED_SHARE = 3, 10, 0.5
+LONG, GRAM, LONG_DOCS = 50, 25, 2
+#: Min-hashes of a document, in bands of ``ROWS``: a pair at similarity 0.7 misses all 26 bands with chance 3e-5.
+SKETCHES, ROWS, ALIKE = 80, 3, 0.6
 #: Up to so many 64-bit keys (of recurring leaves, of dropped lines) go to the scanning tasks; beyond, a shuffled join.
 SENT_KEYS = 2_000_000
 
-_LINES = "doc long, " + "".join(f"{s} int, " for s in SKETCHES) + "leaf long, hash long"
+#: leaf is null for picked runs of words; sketch is null but on a document's first row.
+_LINES = "doc long, leaf long, hash long, sketch array<int>"
 _VARIABLE = U64(0x2A)
 _rng = np.random.Generator(np.random.PCG64(11))
 _POWER = _rng.integers(1, 2**63, 4, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_SEEDS = mix(np.arange(101, 101 + len(SKETCHES), dtype=U64)) | U64(1)
+_SEEDS = mix(np.arange(101, 101 + SKETCHES, dtype=U64)) | U64(1)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
@@ -64,6 +75,38 @@ def _lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], number[first], first, count, leaf, whole, token, h, at
 
 
+def _spread(x: np.ndarray, width: int, join) -> np.ndarray:
+    """``join`` over x[i : i + width] for every i, as far as x goes; join(left, right, items on the right)."""
+    out, have, part, size = None, 0, x, 1
+    while True:
+        if width & size:
+            out, have = (part, size) if out is None else (join(part[: len(x) - have - size + 1], out[size:], have), have + size)
+        size *= 2
+        if size > width:
+            return out
+        part = join(part[: max(0, len(part) - size // 2)], part[size // 2 :], size // 2)
+
+
+def _windows(h: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``width`` words from each word on, and whether its text (``start``: first words, len+1) has so many."""
+    if len(h) < width:
+        return np.zeros(0, U64), np.zeros(0, bool)
+    key = _spread(h, width, lambda x, y, n: x * U64(pow(int(_POWER[1]), n, 2**64)) + y)
+    left = np.repeat(start[1:], np.diff(start)) - np.arange(len(h))
+    return mix(key ^ _POWER[3]) + U64(width), left[: len(key)] >= width
+
+
+def _picked(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """First words of the runs that winnowing picks."""
+    if len(h) < LONG:
+        return np.zeros(0, np.int64)
+    key, _ = _windows(h, start, GRAM)
+    least = _spread(key, LONG - GRAM + 1, lambda x, y, _: np.minimum(x, y))
+    least[~_windows(h, start, LONG)[1]] = 0
+    pad = np.zeros(LONG - GRAM, U64)
+    return np.flatnonzero(_spread(np.concatenate([pad, least, pad]), LONG - GRAM + 1, lambda x, y, _: np.maximum(x, y)) == key)
+
+
 def _sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Min-hashes (32 bits) of each text's three-word shingles (of its words, if it has fewer); 0 without words."""
     n = np.diff(first)
@@ -93,13 +136,42 @@ def _ints(x: np.ndarray) -> pa.Array:
 
 
 def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, its three sketches, leaf and hash of every line."""
+    """doc, leaf and hash of every line, doc and hash of picked runs of words, and once the document's sketch."""
     for batch in batches:
         doc = batch.column("doc").to_numpy(zero_copy_only=False)
         for i, j, raw, offs in _parts(batch, "text"):
             text, _, _, _, leaf, whole, _, h, at = _lines(raw, offs)
-            sketch = _sketches(h, np.searchsorted(at, offs))[text]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i:j][text]), *(pa.array(np.ascontiguousarray(x)) for x in sketch.T), _ints(leaf), _ints(whole)], names=["doc", *SKETCHES, "leaf", "hash"])
+            start = np.searchsorted(at, offs)
+            run = _picked(h, start)
+            key = _windows(h, start, GRAM)[0][run]
+            of = np.searchsorted(start, run, "right") - 1
+            head = np.concatenate([[True], text[1:] != text[:-1]])[: len(text)]
+            sketch = _sketches(h, start)[text[head]]
+            owner, names = doc[i:j][np.concatenate([text, of])], np.concatenate([whole, key])
+            ends = np.concatenate([[0], np.cumsum(head), np.full(len(key), head.sum())]).astype(np.int32) * SKETCHES
+            null = np.concatenate([~head, np.ones(len(key), bool)])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.ravel()), mask=pa.array(null))
+            leaves = pa.array(np.concatenate([leaf, np.zeros(len(key), U64)]).view(np.int64), mask=np.arange(len(names)) >= len(leaf))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), leaves, _ints(names), lists], names=["doc", "leaf", "hash", "sketch"])
+
+
+def _scan_windows(wanted: np.ndarray | None):
+    """doc and hash of the windows of ``LONG`` words around the ``wanted`` runs (sorted; None: of all windows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            for i, j, raw, offs in _parts(batch, "text"):
+                h, at = word_table(raw, offs)
+                start = np.searchsorted(at, offs)
+                key, whole = _windows(h, start, LONG)
+                if wanted is not None and len(key):
+                    near = np.isin(_windows(h, start, GRAM)[0].view(np.int64), wanted)
+                    whole &= _spread(near, LONG - GRAM + 1, lambda x, y, _: x | y)
+                some = np.flatnonzero(whole)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i:j][np.searchsorted(start, some, "right") - 1]), _ints(key[some])], names=["doc", "hash"])
+
+    return run
 
 
 def _scan_tokens(wanted: np.ndarray | None):
@@ -124,49 +196,70 @@ def _only(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, name, "left_semi")
 
 
-def _different(held: DataFrame, by: list[str], min_docs: int) -> DataFrame:
-    """The groups ``by`` that recur in at least ``min_docs`` documents that are no copies of each other; ``held``: group, doc, sketches."""
-    common = held.groupBy(*by).agg(F.count("*").alias("all"))
-    for s in SKETCHES:
-        sizes = held.groupBy(*by, s).agg(F.count("*").alias("n"))
-        common = common.join(sizes.groupBy(*by).agg(F.max(F.struct("n", s)).getField(s).alias(f"m{s}")), by)
-    others = held.join(common, by).where(" + ".join(f"int({s} = m{s})" for s in SKETCHES) + " <= 1")
-    # Sketches that the line itself sets are alike everywhere, so the most telling of them counts.
-    per = others.groupBy(*by).agg(F.greatest(*(F.count_distinct(s) for s in SKETCHES)).alias("different"), F.count("*").alias("docs"), F.first("all").alias("all"))
-    enough = F.greatest(F.lit(min_docs), PART * F.col("all"))
-    return per.where((F.col("different") + 1 >= enough) & (F.col("different") >= DIFFERENT * F.col("docs"))).select(*by)
+def _groups(sketches: DataFrame) -> DataFrame:
+    """(doc, vote) of the documents that are alike to others, vote the least document of the group; ``sketches``: doc, sketch."""
+    band = F.explode(F.array(*(F.xxhash64(F.lit(k), *(F.col("sketch")[i] for i in range(k, k + ROWS))) for k in range(0, SKETCHES - ROWS + 1, ROWS))))
+    banded = sketches.select("doc", band.alias("h"))
+    shared = banded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    members = materialize(banded.join(shared, "h"), "line-members")
+    degree = members.groupBy("doc").agg(F.sum("c").alias("degree"))
+    pivots = members.join(degree, "doc").groupBy("h").agg(F.max(F.struct("degree", "doc"))["doc"].alias("p"))
+    pairs = materialize(members.join(pivots, "h").where("p <> doc").select("p", "doc").distinct(), "line-pairs")
+    some = materialize(sketches.join(members.select("doc").distinct(), "doc", "left_semi"), "line-sketches")
+    both = pairs.join(some, "doc").join(some.select(F.col("doc").alias("p"), F.col("sketch").alias("other")), "p")
+    equal = F.aggregate(F.zip_with("sketch", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    links = both.where(equal >= ALIKE * SKETCHES).select(F.col("p").alias("a"), F.col("doc").alias("b"))
+    return connected_components(links, "line-cc").select(F.col("v").alias("doc"), F.col("component").alias("vote"))
+
+
+def _voted(held: DataFrame, by: list[str], least: int) -> DataFrame:
+    """The groups ``by`` of ``held`` that at least so many votes hold."""
+    return held.select(*by, "vote").distinct().groupBy(*by).agg(F.count("*").alias("votes")).where(F.col("votes") >= least).select(*by)
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(hash): the lines, their variables masked, whose template recurs across documents."""
+    """(hash): the lines, their variables masked, whose template recurs across documents, and the passages that do."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("doc"))
-    lines = materialize(rows.mapInArrow(_scan_lines, _LINES), "line-scan")
-    often = lines.select("leaf", "s1").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    inside = materialize(_only(lines, materialize(often, "line-often"), "leaf").distinct(), "line-inside")  # copies of a text are one text here
-    leaves = materialize(_different(inside.drop("hash").distinct(), ["leaf"], min_docs), "line-leaves")
-    inside = _only(inside, leaves, "leaf")
-
-    # Distinct lines of these leaves with their tokens, and the support of each token at its place.
+    scan = materialize(rows.mapInArrow(_scan_lines, _LINES), "line-scan")
+    sketches = scan.where("sketch IS NOT NULL").groupBy("doc").agg(F.first("sketch").alias("sketch"))  # copies of a text are one text here
+    groups = materialize(_groups(materialize(sketches, "line-docs")), "line-groups")
+    groups = F.broadcast(groups) if groups.count() <= SENT_KEYS else groups
+
+    def voting(held: DataFrame) -> DataFrame:
+        return held.join(groups, "doc", "left").withColumn("vote", F.coalesce("vote", "doc"))
+
+    picked = scan.where("leaf IS NULL").select("doc", "hash")
+    again = materialize(_voted(voting(picked), ["hash"], LONG_DOCS), "line-runs")
+    around = np.sort(again.toPandas()["hash"].to_numpy(np.int64)) if again.count() <= SENT_KEYS else None
+    holders = materialize(_only(picked, again, "hash").select("doc").distinct(), "line-holders")
+    windows = _only(rows, holders, "doc").mapInArrow(_scan_windows(around), "doc long, hash long")
+    passages = _voted(voting(windows), ["hash"], LONG_DOCS)
+    lines = voting(scan.where("leaf IS NOT NULL").select("doc", "leaf", "hash"))
+    leaves = materialize(_voted(lines, ["leaf"], min_docs), "line-leaves")
+    inside = materialize(_only(lines, leaves, "leaf").groupBy("leaf", "hash", "vote").agg(F.min("doc").alias("doc")), "line-inside")
+
+    # Distinct lines of these leaves with their tokens, and the votes for each token at its place.
     few = leaves.count() <= SENT_KEYS
     wanted = np.sort(leaves.toPandas()["leaf"].to_numpy(np.int64)) if few else None
     one = materialize(inside.groupBy("leaf", "hash").agg(F.min("doc").alias("doc")).select("doc").distinct(), "line-one")  # a text for each such line
     worded = _only(rows, one, "doc").select("text").mapInArrow(_scan_tokens(wanted), "leaf long, hash long, tokens array<long>")
     worded = (worded if few else worded.join(leaves, "leaf", "left_semi")).groupBy("leaf", "hash").agg(F.first("tokens").alias("tokens"))
-    weight = inside.select("leaf", "hash", "s1").distinct().groupBy("leaf", "hash").agg(F.count("*").alias("docs"))
-    placed = materialize(worded.join(weight, ["leaf", "hash"]).select("leaf", "hash", "docs", F.posexplode("tokens").alias("place", "token")), "line-placed")
-    fixed = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != int(_VARIABLE)))
-    marked = placed.join(fixed.select("leaf", "place", "token", F.lit(True).alias("fixed")), ["leaf", "place", "token"], "left")
+    worded = materialize(worded, "line-worded")
+    placed = worded.select("leaf", "hash", F.posexplode("tokens").alias("place", "token"))
+    held_at = inside.select("leaf", "hash", "vote").join(worded, ["leaf", "hash"]).select("leaf", "vote", F.posexplode("tokens").alias("place", "token"))
+    fixed = _voted(held_at.where(F.col("token") != int(_VARIABLE)), ["leaf", "place", "token"], min_docs)
+    marked = placed.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
     field = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(int(_VARIABLE))).alias("token"))
     templates = marked.groupBy("leaf", "hash").agg(F.count("fixed").alias("f"), F.count("*").alias("k"), F.xxhash64(F.array_sort(F.collect_list(field))).alias("template"))
     templates = templates.where(F.col("f") >= FIXED_SHARE * F.col("k")).select("leaf", "hash", "template")
-    seen = materialize(inside.join(templates, ["leaf", "hash"]), "line-seen")
-    dropped = _different(seen.drop("hash").distinct(), ["leaf", "template"], min_docs)
-    return seen.select("leaf", "hash", "template").distinct().join(dropped, ["leaf", "template"]).select("hash").distinct()
+    seen = materialize(inside.select("leaf", "hash", "vote").join(templates, ["leaf", "hash"]), "line-seen")
+    dropped = _voted(seen, ["leaf", "template"], min_docs)
+    return seen.select("leaf", "hash", "template").distinct().join(dropped, ["leaf", "template"]).select("hash").unionByName(passages).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` without the lines whose template recurs across documents: all columns, ``text``
+    """``docs`` without the lines whose template, or a passage they are in, recurs across documents: all columns, ``text``
     rebuilt from the lines left, and n_lines and n_dropped (columns of these names are replaced).
 
     Lines end at newlines; blank lines are never dropped. A null text stays null (0 lines), an
@@ -181,18 +274,33 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MI
         rows = docs.select(*keep, F.col(text).alias(text)).withColumn("__drop", F.lit(None).cast("array<long>"))
     else:  # each text brings the hashes that it has among those dropped
         hashes = None
-        own = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("doc")).mapInArrow(_scan_lines, _LINES)
-        own = own.select("doc", "hash").distinct().join(drop, "hash", "left_semi").groupBy("doc").agg(F.collect_list("hash").alias("__drop"))
+        texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("doc"))
+        own = texts.mapInArrow(_scan_lines, _LINES).where("leaf IS NOT NULL").select("doc", "hash").unionByName(texts.mapInArrow(_scan_windows(None), "doc long, hash long"))
+        own = own.distinct().join(drop, "hash", "left_semi").groupBy("doc").agg(F.collect_list("hash").alias("__drop"))
         rows = docs.select(*keep, text).withColumn("doc__", F.xxhash64(F.col(text))).join(own.withColumnRenamed("doc", "doc__"), "doc__", "left").drop("doc__")
 
+    def among(batch: pa.RecordBatch, i: int, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if hashes is not None:
+            return np.isin(keys.view(np.int64), hashes)
+        own = {d: set(batch.column("__drop")[i + d].as_py() or ()) for d in set(which.tolist())}
+        return np.array([k in own[d] for d, k in zip(which.tolist(), keys.view(np.int64).tolist(), strict=True)], bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
             gone: dict[int, set[int]] = {}
             for i, _, raw, offs in _parts(batch, text):
-                which, number, _, _, _, whole, _, _, _ = _lines(raw, offs)
-                whole = whole.view(np.int64)
-                hit = np.isin(whole, hashes) if hashes is not None else np.array([w in set(batch.column("__drop")[i + int(d)].as_py() or ()) for d, w in zip(which, whole, strict=True)], bool)
+                which, number, first, count, _, whole, _, h, at = _lines(raw, offs)
+                start = np.searchsorted(at, offs)
+                key, some = _windows(h, start, LONG)
+                some = np.flatnonzero(some)
+                hit = among(batch, i, which, whole)
+                long = some[among(batch, i, np.searchsorted(start, some, "right") - 1, key[some])]
+                if len(long):  # lines whose every word is in such a window
+                    cover = np.zeros(len(h) + 1, np.int64)
+                    cover[long] += 1
+                    cover[long + LONG] -= 1
+                    hit |= np.minimum.reduceat(np.cumsum(cover[:-1]), first) > 0
                 for d, n in zip(which[hit], number[hit], strict=True):
                     gone.setdefault(i + int(d), set()).add(int(n))
             lines = [0 if x is None else x.count("\n") + 1 for x in texts]

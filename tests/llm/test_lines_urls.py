@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from sonde.llm import line_templates as lt
@@ -44,6 +45,63 @@ def test_join_path_gives_the_same(spark, monkeypatch):
     assert lt.drop_recurring_lines(df.limit(0)).collect() == []
 
 
+def dropped(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return {x["doc_id"]: x["n_dropped"] for x in lt.drop_recurring_lines(df).collect()}
+
+
+def copies(r, base, n):
+    """``n`` near copies of ``base``, one word replaced in each."""
+    for _ in range(n):
+        words = base.split(" ")
+        words[r.randrange(len(words))] = prose(r, 1)
+        yield " ".join(words)
+
+
+def test_long_repeats_in_few_documents_go(spark, monkeypatch):
+    r = random.Random(3)
+    line, runs, short = prose(r, 60), [prose(r, n) for n in (30, 12, 14, 9)], prose(r, 40)
+    rows = [f"{prose(r, 70)}\n{line}\n{prose(r, 9)}" for _ in range(3)]
+    rows += ["\n".join([prose(r, 80), *runs, prose(r, 80)]) for _ in range(2)]  # lines of a run are short, the run is not
+    rows += ["\n".join([f"{prose(r, 70)} {runs[1]}", runs[0], f"{runs[2]} {prose(r, 50 + i)}"]) for i in range(2)]  # begins and ends in a line
+    rows += [f"{prose(r, 70)}\n{short}\n{prose(r, 70)}" for _ in range(2)]
+    rows += [f"{x}\n{prose(r, 1)}" for x in copies(r, prose(r, 200), 3)]
+    want = dict(enumerate([1] * 3 + [4] * 2 + [1] * 2 + [0] * 5))
+    assert dropped(spark, rows) == want
+    monkeypatch.setattr(lt, "SENT_KEYS", -1)
+    assert dropped(spark, rows) == want
+
+
+def test_winnowing_picks_a_run_in_every_passage():
+    r = np.random.default_rng(1)
+    sizes = [0, 3, 49, 50, 51, 400, 0, 200]
+    h, start = r.integers(0, 2**63, sum(sizes)).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    h[110:170] = h[110]
+    key, whole = lt._windows(h, start, lt.LONG)
+    at = [s + i for s, n in zip(start, sizes) for i in range(n - lt.LONG + 1)]
+    assert list(np.flatnonzero(whole)) == at
+    picked = lt._picked(h, start)
+    assert all(((picked >= i) & (picked <= i + lt.LONG - lt.GRAM)).any() for i in at) and picked.min() >= 52
+    same = lt._windows(np.concatenate([h[:7], h[200:260]]), np.array([0, 67]), lt.LONG)[0]
+    assert list(same[7:]) == list(key[200:211]) and len(set(key[at].tolist())) == len(set(tuple(h[i : i + lt.LONG]) for i in at))
+
+
+def test_clouds_of_near_copies_do_not_shield_boilerplate(spark):
+    r = random.Random(4)
+    notice = "this text is under the licence of the old press"
+    for clouds, others in (([1500], 12), ([100, 60, 60], 30)):
+        rows = [f"{x}\n{notice}" for n in clouds for x in copies(r, prose(r, 150), n)]
+        rows += [f"{prose(r, 60)}\n{notice}" for _ in range(others)]
+        assert set(dropped(spark, rows).values()) == {1}
+        assert set(dropped(spark, rows[: sum(clouds)]).values()) == {0}  # a cloud has one vote
+
+
+def test_a_shared_passage_does_not_make_documents_copies(spark):
+    r = random.Random(5)
+    passage = prose(r, 40)
+    assert set(dropped(spark, [f"{prose(r, 40)}\n{passage}" for _ in range(20)]).values()) == {1}
+
+
 URLS = [
     (1, "https://www.Example.com/en/x?q#f"), (2, "http://a.example.com/en/"), (3, "http://b.net/es/1"), (4, "http://b.net"), (5, "x.net/es/"), (6, None), (7, "ftp://COM/"), (8, "http://notexample.com/en/"),
     (9, "http://ÄB.net/fr/ä"), (9, "http://h.org?x=://y.net/es/"), (None, "http://h.org/#/en/"), (10, "://"), (11, "http://x.co.uk/a"),
