@@ -18,6 +18,8 @@ from sonde.llm.scratch import materialize
 from sonde.llm.toxicity import score_toxicity, train_toxicity
 
 TOXIC = 0.7
+#: Documents of this similarity (in percent) are near duplicates.
+ALIKE = 80
 #: An ambiguous prediction with less confidence than this is no language that was learnt.
 LEAST_CONFIDENCE = 0.4
 #: Up to so many rejected rows (16 bytes each) are broadcast; beyond, a shuffled join.
@@ -61,7 +63,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the least doc_id."""
-    rejected = materialize(near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash").distinct(), "pipeline-rejected")
+    rejected = materialize(near_duplicates(docs, percent=ALIKE).where("NOT kept").select("doc_id", "text_hash").distinct(), "pipeline-rejected")
     if rejected.count() <= REJECTED_ROWS:
         rejected = F.broadcast(rejected)
     plain, names = _plain(docs)

@@ -2,8 +2,9 @@
 
 Every hash function keeps both its minimum and its maximum over a document's shingle
 set, so 90 evaluations give 180 signature values; each is an unbiased indicator of the
-Jaccard similarity, and the two of one function vary against each other. 30 bands of six
-values make the buckets: a pair at similarity 0.85 misses all of them with chance 7e-7.
+Jaccard similarity, and the two of one function vary against each other. Bands of them make
+the buckets, as long as keeps the chance to miss a pair at the asked similarity below 1e-6:
+30 of six values at 0.85 (7e-7), 36 of five at 0.8 (6e-7).
 
 Groups are never expanded into pairs:
 
@@ -32,7 +33,7 @@ from .components import connected_components
 from .kernels import U64, mix, runs, shingle_sets, utf8
 from .scratch import materialize, small_batches
 
-BANDS, ROWS, HASHES = 30, 6, 90
+HASHES, MISS = 90, 1e-6
 BLOCK_ROWS = 256
 #: ... and about so many shingles, unless one document alone has more.
 BLOCK_SHINGLES = 1_000_000
@@ -42,8 +43,13 @@ PICK_ROWS = 400_000
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.int64).astype(U64)
-_DEAL = _rng.permutation(2 * HASHES).reshape(BANDS, ROWS)
-_SEED = mix(np.arange(1, BANDS + 1, dtype=U64))
+_DEAL = _rng.permutation(2 * HASHES)
+_SEED = mix(np.arange(1, 2 * HASHES + 1, dtype=U64))
+
+
+def band_rows(percent: int) -> int:
+    """The most values in a band (6 at most) that keep the chance to miss a pair at this similarity below ``MISS``."""
+    return next((r for r in range(6, 1, -1) if (1 - (percent / 100) ** r) ** (2 * HASHES // r) < MISS), 1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -56,10 +62,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """``BANDS`` 64-bit bucket keys of a signature."""
-    deal, key = sig[_DEAL], _SEED.copy()
-    for k in range(ROWS):
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """64-bit bucket keys of a signature, from ``rows`` of its values each."""
+    bands = 2 * HASHES // rows
+    deal, key = sig[_DEAL[: bands * rows].reshape(bands, rows)], _SEED[:bands].copy()
+    for k in range(rows):
         key = mix(key + deal[:, k])
     return key
 
@@ -68,7 +75,7 @@ def _digest(x: np.uint64) -> int:
     return int(mix(np.array([x], U64)).view(np.int64)[0])
 
 
-def _sketch(width: int):
+def _sketch(width: int, band: int):
     schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +88,7 @@ def _sketch(width: int):
                     if len(s):
                         f1.append(_digest(np.bitwise_xor.reduce(mix(s))))
                         f2.append(_digest(np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)))))
-                        keys.append(band_keys(signature(s)).view(np.int64))
+                        keys.append(band_keys(signature(s), band).view(np.int64))
                     else:
                         f1.append(0), f2.append(0), keys.append(None)
                 yield pa.RecordBatch.from_arrays(
@@ -139,11 +146,11 @@ def _links(pivot: int | None, left: pd.DataFrame, right: pd.DataFrame | None, wi
     return out, set()
 
 
-def shingle_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+def shingle_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, rk, n, f1, f2, bands) per row: set size, 128-bit set fingerprint, bucket keys."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("rk"))
-    return rows.mapInArrow(_sketch(width), "doc_id long, rk long, n long, f1 long, f2 long, bands array<long>")
+    return rows.mapInArrow(_sketch(width, band_rows(percent)), "doc_id long, rk long, n long, f1 long, f2 long, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
@@ -156,7 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty result.
     """
     width, percent = int(width), int(percent)
-    sketch = materialize(shingle_documents(docs, doc_id, text, width), "mm-sketch")
+    sketch = materialize(shingle_documents(docs, doc_id, text, width, percent), "mm-sketch")
     some = sketch.where("n > 0 AND doc_id IS NOT NULL")
     reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("bands").alias("bands"))
     banded = reps.select(F.col("r.doc_id").alias("rep"), F.col("r.rk").alias("rk"), "n", F.explode("bands").alias("h"))

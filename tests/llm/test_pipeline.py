@@ -39,6 +39,14 @@ def test_one_of_each_group_stays(spark, sf_dir):
         cp.REJECTED_ROWS = old
 
 
+def test_a_pair_at_082_is_a_near_duplicate(spark, sf_dir):
+    w = [f"w{i}" for i in range(104)]  # 100 shingles, 90 of them in both: 90 / 110
+    near = [*w[:-10], *(f"x{i}" for i in range(10))]
+    far = [*w[:-13], *(f"y{i}" for i in range(13))]  # 87 / 113
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 1) for i, x in enumerate((w, near))] + [(5, " ".join(f"a{x}" for x in w), "en", "s", 1), (6, " ".join(f"a{x}" for x in far), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in cp.minhash_dedup(spark, docs, sf_dir).collect()} == {0, 5, 6}
+
+
 def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
     from pyspark.sql import functions as F
 
