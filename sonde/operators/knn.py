@@ -74,6 +74,18 @@ def build_cells(vectors: DataFrame, cells: int | None = None, seed: int = 7) ->
     return model.transform(features).drop("__f"), np.array(model.clusterCenters())
 
 
+def enough_probes(cells: DataFrame, centres: np.ndarray, limit: int, recall: float = 0.95, asked: int = 200) -> int:
+    """The least number of probes that finds this share of the true ``limit`` nearest of ``asked`` vectors of the table (those of the least hashed ids)."""
+    some = cells.orderBy(F.xxhash64("id"), "id").limit(asked).select(F.col("id").alias("query_id"), "vector")
+    true = nearest(cells, some, limit).join(cells.select("id", "cell"), "id").select("query_id", "cell").toPandas()
+    if not len(true):
+        return len(centres)
+    at = {r["query_id"]: np.array(list(r["vector"]), np.float64) for r in some.collect()}
+    order = {k: np.argsort(np.argsort(((v - centres) ** 2).sum(1), kind="stable"), kind="stable") for k, v in at.items()}
+    place = np.sort([order[k][c] for k, c in zip(true["query_id"], true["cell"], strict=True)])
+    return int(place[int(np.ceil(recall * len(place))) - 1]) + 1
+
+
 def nearest_in_cells(cells: DataFrame, centres: np.ndarray, queries: DataFrame, limit: int, probes: int) -> DataFrame:
     """Like ``nearest``, but only among the ``probes`` cells nearest to each query."""
 

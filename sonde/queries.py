@@ -459,8 +459,8 @@ def nlist_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, centres = knn.build_cells(_vectors(spark, sf_dir).select("id", "vector"), cells=16)
-    return knn.nearest_in_cells(cells, centres, _vector_queries(spark, sf_dir), 10, probes=8)
+    cells, centres = knn.build_cells(_vectors(spark, sf_dir).select("id", "vector"))
+    return knn.nearest_in_cells(cells, centres, _vector_queries(spark, sf_dir), 10, knn.enough_probes(cells, centres, 10))
 
 
 @query(None)

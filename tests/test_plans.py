@@ -103,6 +103,17 @@ def test_nearest_and_cells(spark):
     assert left.count() == 9 and 2 not in {r["id"] for r in knn.nearest(left, asked, 9).collect()}
 
 
+def test_recall_of_search_in_cells(spark):
+    from sonde import queries
+
+    sf = "/root/testdata/sf0.01"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    true = {(r["query_id"], r["id"]) for r in knn.nearest(v, queries._vector_queries(spark, sf), 10).collect()}
+    found = {(r["query_id"], r["id"]) for r in queries.ivf_search(spark, sf).collect()}
+    print("recall", len(true & found) / len(true))
+    assert len(true & found) >= 0.9 * len(true)
+
+
 def test_quality_runs(spark):
     chunks = spark.createDataFrame([(1, 1, 1, "Fine words that end well.", 40), (2, 1, 1, "bad (", 2)], "chunk_id long, file_id long, tier int, content string, token_count long")
     chunks = chunks.withColumns({"structural_score": F.lit(None).cast("double"), "coherence_score": F.lit(None).cast("double"), "is_flagged": F.lit(False)})
