@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,26 +97,49 @@ def count_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.octet_length(text) / fixed.BYTES_PER_TOKEN)).cast("long")
 
 
+#: Items that one step of a fold takes, so that arrays grow by blocks.
+BLOCK = 256
+
+
 def budget_segments(text: Column, budget: int) -> Column:
-    """Consecutive pieces of at most ``budget`` tokens that join to the text, never cut inside a character; blank text has none."""
-    n, raw, size = budget * fixed.BYTES_PER_TOKEN, text.cast("binary"), F.octet_length(text)
-    inside = lambda p: F.hex(F.substring(raw, p + 1, F.lit(1))).between("80", "BF")
-    back = lambda p: F.when(~inside(p), p).when(~inside(p - 1), p - 1).when(~inside(p - 2), p - 2).otherwise(p - 3)
+    """Consecutive pieces of at most ``budget`` tokens that join to the text, never cut inside a character; blank text has none.
+
+    In time linear in the text: pieces are slices of its bytes, which are taken out of the row once.
+    """
+    n = budget * fixed.BYTES_PER_TOKEN
+
+    def pieces(whole: Column) -> Column:
+        raw, size = whole["raw"], F.octet_length(whole["raw"])
+        inside = lambda p: F.hex(F.substring(raw, p + 1, F.lit(1))).between("80", "BF")
+        back = lambda p: F.when(~inside(p), p).when(~inside(p - 1), p - 1).when(~inside(p - 2), p - 2).otherwise(p - 3)
+        single = F.transform(F.sequence(F.lit(0), ((size - 1) / n).cast("int")), lambda i: F.substring(raw, i * n + 1, F.lit(n)).cast("string"))
 
-    def further(cuts: Column, _: Column) -> Column:
-        at = F.element_at(cuts, -1)
-        return F.when(at >= size, cuts).otherwise(F.concat(cuts, F.array(F.when(at + n >= size, size).otherwise(back(at + n)))))
+        def further(cuts: Column, _: Column) -> Column:
+            at = F.element_at(cuts, -1)
+            return F.when(at >= size, cuts).otherwise(F.concat(cuts, F.array(F.when(at + n >= size, size).otherwise(back(at + n)))))
 
-    single = F.transform(F.sequence(F.lit(0), ((size - 1) / n).cast("int")), lambda i: F.substring(text, i * n + 1, F.lit(n)))
-    cuts = F.aggregate(F.sequence(F.lit(0), ((size - 1) / (n - 3)).cast("int")), F.array(F.lit(0)), further)
-    many = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda c, i: F.substring(raw, c + 1, F.get(cuts, i + 1) - c).cast("string"))
-    return F.when(strip(text) == "", F.array().cast("array<string>")).when(size == F.length(text), single).otherwise(many)
+        def block(state: Column, _: Column) -> Column:
+            cuts = F.aggregate(F.sequence(F.lit(1), F.lit(BLOCK)), F.array(state["at"]), further)
+            return F.struct(F.element_at(cuts, -1).alias("at"), F.concat(state["done"], F.array(F.slice(cuts, 2, BLOCK))).alias("done"))
 
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"))
+        ends = F.aggregate(F.sequence(F.lit(0), ((size - 1) / ((n - 3) * BLOCK)).cast("int")), start, block, lambda s: F.flatten(s["done"]))
+        cut = lambda ends: F.transform(ends, lambda e, i: F.substring(raw, F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, e - F.coalesce(F.get(ends, i - 1), F.lit(0))).cast("string"))
+        return F.when(whole["plain"], single).otherwise(F.get(F.transform(F.array(ends), cut), 0))
 
-def name_tokens(text: Column) -> Column:
+    whole = F.array(F.struct(text.cast("binary").alias("raw"), (F.octet_length(text) == F.length(text)).alias("plain")))
+    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(F.get(F.transform(whole, pieces), 0))
+
+
+def name_tokens(text: Column, segment: bool | None = None) -> Column:
     """Lower-cased words of three letters or more of an identifier, a name or a query: capitals
-    split words, c++ and its like are spelt out, all but ASCII letters and digits separates."""
-    spaced = F.regexp_replace(F.regexp_replace(text, r"(?<=[\p{Ll}0-9])(?=\p{Lu})", " "), r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})", " ")
+    split words, c++ and its like are spelt out, all but ASCII letters and digits separates.
+
+    Without ``segment`` (None: as SONDE_SEGMENT says, on unless it is 0, false or off) capitals split nothing.
+    """
+    if segment is None:
+        segment = os.environ.get("SONDE_SEGMENT", "1").lower() not in ("0", "false", "off")
+    spaced = F.regexp_replace(F.regexp_replace(text, r"(?<=[\p{Ll}0-9])(?=\p{Lu})", " "), r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})", " ") if segment else text
     plain = F.lower(spaced)
     for symbol, word in fixed.SYMBOLS.items():
         plain = F.replace(plain, F.lit(symbol), F.lit(word))
@@ -227,15 +252,20 @@ def key_values(headers: Column, values: Column) -> Column:
 
 def packed_groups(counts: Column, budget: int) -> Column:
     """The group of each item when groups are filled in order and closed before they exceed the budget."""
-    start = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("used"))
 
     def step(state: Column, n: Column) -> Column:
-        new = (state["used"] + n > budget) & (F.size(state["groups"]) > 0)
+        new = (state["used"] + n > budget) & state["any"]
         group = F.when(new, state["group"] + 1).otherwise(state["group"])
         used = F.when(new, n).otherwise(state["used"] + n).cast("long")
-        return F.struct(F.concat(state["groups"], F.array(group)).alias("groups"), group.alias("group"), used.alias("used"))
+        return F.struct(F.concat(state["groups"], F.array(group)).alias("groups"), group.alias("group"), used.alias("used"), F.lit(True).alias("any"))
+
+    def block(state: Column, i: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("groups"), *(state[c].alias(c) for c in ("group", "used", "any")))
+        items = F.transform(F.slice(counts, i * BLOCK + 1, F.lit(BLOCK)), lambda x: x.cast("long"))
+        return F.aggregate(items, start, step, lambda s: F.struct(F.concat(state["done"], F.array(s["groups"])).alias("done"), *(s[c].alias(c) for c in ("group", "used", "any"))))
 
-    return F.aggregate(F.transform(counts, lambda x: x.cast("long")), start, step, lambda s: s["groups"])
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("any"))
+    return F.aggregate(F.sequence(F.lit(0), (F.size(counts) / BLOCK).cast("int")), start, block, lambda s: F.flatten(s["done"]))
 
 
 # --- display

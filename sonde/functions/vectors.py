@@ -59,8 +59,14 @@ def check_ending(text: Column) -> Column:
 
 
 def balanced(text: Column) -> Column:
-    """Whether round, square and curly brackets nest."""
-    marks = F.regexp_replace(text, r"[^()\[\]{}]", "")
+    """Whether round, square and curly brackets nest.
+
+    Innermost pairs are taken out a few times; what is then left of most texts is nothing, or ends it at
+    once. Only deeper nests are followed bracket by bracket.
+    """
+    left = F.regexp_replace(text, r"[^()\[\]{}]+", "")
+    for _ in range(4):
+        left = F.regexp_replace(left, r"\(\)|\[\]|\{\}", "")
 
     def step(open_: Column, c: Column) -> Column:
         pair = F.concat(F.right(open_, F.lit(1)), c)
@@ -71,7 +77,12 @@ def balanced(text: Column) -> Column:
             .otherwise("x")
         )
 
-    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.lit(""), step) == ""
+    def deep(left: Column) -> Column:
+        never = (F.length(left) % 2 == 1) | F.left(left, F.lit(1)).isin(")", "]", "}") | F.right(left, F.lit(1)).isin("(", "[", "{")
+        followed = F.aggregate(F.filter(F.split(left, ""), lambda c: c != ""), F.lit(""), step) == ""
+        return F.when(left == "", True).when(never, False).otherwise(followed)
+
+    return F.get(F.transform(F.array(left), deep), 0)
 
 
 def check_brackets(text: Column) -> Column:

@@ -17,12 +17,37 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
+def _nearest_rows(x: np.ndarray, names: np.ndarray, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, distance) of the ``limit`` nearest rows of x to each row of q; ties by id.
+
+    One matrix product finds who can be among them; their distances are then taken from the differences, so that equal vectors tie.
+    """
+    squares = (x * x).sum(1)
+    near = squares[None] + (q * q).sum(1)[:, None] - 2 * (q @ x.T)
+    if limit < len(x):
+        edge = np.partition(near, limit - 1, 1)[:, limit - 1 : limit]
+        slack = 1e-9 * (1 + squares.max() + (q * q).sum(1)[:, None])
+        who, row = np.nonzero(near <= edge + slack)
+    else:
+        who, row = np.divmod(np.arange(near.size), len(x))
+    d = np.concatenate([np.zeros(0), *(np.round(np.sqrt(((x[row[i : i + 8192]] - q[who[i : i + 8192]]) ** 2).sum(1)), 9) for i in range(0, len(who), 8192))])
+    return _least(who, names[row], d, limit)
+
+
+def _least(who: np.ndarray, ids: np.ndarray, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, d, who))
+    who, ids, d = who[order], ids[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, int)
+    keep = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who)))) < limit
+    return who[keep], ids[keep], d[keep]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, distance, place) of the ``limit`` nearest of each query; ties by id.
 
     ``vectors`` (id, vector), ``queries`` (query_id, vector). Queries are a batch that people or
     jobs ask, read to the driver in blocks of ``BLOCK``; each block is one scan of the vectors
-    with a partial top list in every task, so only limit rows a query and task are shuffled.
+    with a running top list in every task, so only limit rows a query and task are shuffled.
     """
     asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
     parts, block = [], []
@@ -32,14 +57,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
         q = np.array([list(r["vector"]) for r in rows], np.float64).reshape(len(rows), -1)
 
         def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, names = _matrix(pdf["vector"]), pdf["id"].to_numpy()
-                for i in range(len(q)):
-                    d = np.round(np.sqrt(((x - q[i]) ** 2).sum(1)), 9)  # equal vectors tie
-                    best = np.lexsort((names, d))[:limit]
-                    yield pd.DataFrame({"query_id": ids[i], "id": names[best], "distance": d[best]})
+                if len(pdf) and len(q):
+                    new = _nearest_rows(_matrix(pdf["vector"]), pdf["id"].to_numpy(), q, limit)
+                    held = _least(*(np.concatenate([a, b]) for a, b in zip(held, new, strict=True)), limit)
+            yield pd.DataFrame({"query_id": ids[held[0]], "id": held[1], "distance": held[2]})
 
         return vectors.select("id", "vector").mapInPandas(top, "query_id long, id long, distance double")
 
@@ -100,11 +123,8 @@ def nearest_in_cells(cells: DataFrame, centres: np.ndarray, queries: DataFrame,
     def best(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})]
         if len(q) and len(x):
-            m, names = _matrix(x["vector"]), x["id"].to_numpy()
-            for query_id, v in zip(q["query_id"], q["q"], strict=True):
-                d = np.round(np.sqrt(((m - np.asarray(v, np.float64)) ** 2).sum(1)), 9)
-                top = np.lexsort((names, d))[:limit]
-                out.append(pd.DataFrame({"query_id": query_id, "id": names[top], "distance": d[top]}))
+            who, ids, d = _nearest_rows(_matrix(x["vector"]), x["id"].to_numpy(), _matrix(q["q"]), limit)
+            out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[who], "id": ids, "distance": d}))
         return pd.concat(out, ignore_index=True)
 
     found = asked.groupBy("cell").cogroup(cells.select("id", "vector", "cell").groupBy("cell")).applyInPandas(best, "query_id long, id long, distance double")

@@ -63,6 +63,11 @@ def delete_files(files: DataFrame, chunks: DataFrame, edges: DataFrame, vectors:
     )
 
 
+def delete_all(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables without their rows."""
+    return tuple(t.where(F.lit(False)) for t in tables)
+
+
 def mark_embedded(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """``chunks`` with lance_id set where there is a vector (chunk_id, id), null elsewhere."""
     have = vectors.select("chunk_id", F.col("id").alias("__id")).dropDuplicates(["chunk_id"])

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
 
+#: Groups that a task adds up before it sends them.
+GROUPS_HELD = 20_000
+
 
 def structural_scores(chunks: DataFrame) -> DataFrame:
     """``chunks`` (tier, token_count, content) with the five checks in hundredths, and structural (their sum)."""
@@ -15,11 +22,46 @@ def structural_scores(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns(checks).withColumn("structural", sum((F.col(k) for k in checks), F.lit(0)))
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, tier, n, total) of rows (file_id, tier, n, total), groups merged within the task."""
+    held: dict[tuple, list] = {}
+
+    def out() -> pa.RecordBatch:
+        keys = list(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.list_(pa.float64()))],
+            names=["file_id", "tier", "n", "total"],
+        )
+
+    for batch in batches:
+        totals = batch.column("total")
+        rows = zip(batch.column("file_id").to_pylist(), batch.column("tier").to_pylist(), batch.column("n").to_pylist(), totals, strict=True)
+        for file_id, tier, n, total in rows:
+            if not total.is_valid:
+                continue
+            x = total.values.to_numpy(zero_copy_only=False)
+            own = held.setdefault((file_id, tier), [0, np.zeros(len(x))])
+            own[0] += n
+            own[1] += x
+        if len(held) > GROUPS_HELD:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
 def parent_means(embedded: DataFrame) -> DataFrame:
-    """``embedded`` (file_id, tier, vector) -> (file_id, tier, mean), the element-wise mean."""
-    parts = embedded.select("file_id", "tier", F.posexplode(vectors.doubles(F.col("vector"))).alias("i", "x"))
-    mean = parts.groupBy("file_id", "tier", "i").agg(F.avg("x").alias("x"))
-    return mean.groupBy("file_id", "tier").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    """``embedded`` (file_id, tier, vector) -> (file_id, tier, mean), the element-wise mean.
+
+    Tasks add up their own groups before the one shuffle, so a group that most rows are in sends one row a task.
+    """
+    shape = "file_id long, tier int, n long, total array<double>"
+    rows = embedded.select(F.col("file_id").cast("long"), F.col("tier").cast("int"), F.lit(1).cast("long").alias("n"), vectors.doubles(F.col("vector")).alias("total"))
+    parts = rows.where("total IS NOT NULL").mapInArrow(_sums, shape).repartition("file_id", "tier").mapInArrow(_sums, shape)
+    # A task that held too many groups gives some of them in parts.
+    again = parts.groupBy("file_id", "tier").agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"))
+    added = F.aggregate(F.slice("totals", 2, 1 << 30), F.get("totals", 0), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return again.select("file_id", "tier", F.transform(added, lambda x: x / F.col("n")).alias("mean"))
 
 
 def coherence_scores(embedded: DataFrame) -> DataFrame:
@@ -73,6 +115,11 @@ def drifted_files(flagged: DataFrame, methods: dict[str, str] | None = None) ->
     return moved.groupBy("file_uri").agg(F.min(F.coalesce("chunker_method", F.lit("_default"))).alias("old"), F.min("new").alias("new"))
 
 
+def drift_skipped(drifted: DataFrame, flagged: DataFrame) -> DataFrame:
+    """One row: the flagged files that need no new chunks, as their method is the current one."""
+    return flagged.select("file_uri").distinct().join(drifted.select("file_uri"), "file_uri", "left_anti").agg(F.count("*").alias("skipped"))
+
+
 def drift_tally(drifted: DataFrame) -> DataFrame:
     return drifted.groupBy("old", "new").agg(F.count("*").alias("files"))
 

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from ..operators import maintenance as m
 from ..operators import quality
 from ..operators.bm25 import TextIndex, build_index, update_index
 from ..operators.chunking.dispatch import parse_documents, with_ids
 from ..operators.embed import Embedder
 from ..sources.records import as_documents
-from ..sources.walk import list_files, read_bytes, with_contents
+from ..sources.walk import list_files, with_contents
 from .store import Store
 
 
@@ -56,7 +57,10 @@ class Indexer:
         rows, errors = [], 0
         for uri in uris:
             try:
-                rows.append((uri, len(read_bytes(uri))))
+                size = os.path.getsize(uri)
+                if size > fixed.MAX_FILE_SIZE:
+                    raise OSError("too large")
+                rows.append((uri, size))
             except OSError:
                 errors += 1
         files = self.store.spark.createDataFrame(rows, "file_uri string, size_bytes long").withColumn("name", text.last_segment(F.col("file_uri")))

@@ -20,14 +20,15 @@ def line_stream(spark: SparkSession, folder: str, files_per_batch: int = 128) ->
     return lines.select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
 
 
-def ingest_lines(batch: DataFrame, indexer: Indexer, bad_path: str | None = None) -> None:
-    """Index one batch of lines (value, at, file, place: the order of lines in a file)."""
+def ingest_lines(batch: DataFrame, indexer: Indexer, bad_path: str | None = None, number: int = 0) -> None:
+    """Index one batch of lines (value, at, file, place: the order of lines in a file). Bad lines go to a folder of
+    the batch's number below ``bad_path``, so a batch that is replayed replaces its own."""
     arrival = F.struct("at", "file", "place")
     rows = batch.withColumn("arrival", arrival)
     parsed = parse_lines(rows.select("value"))
     _, bad = split_records(parsed)
     if bad_path:
-        bad.write.mode("append").parquet(bad_path)
+        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
     ordered = rows.groupBy(F.col("value").alias("line")).agg(F.max("arrival").alias("arrival"))
     good = parsed.where("NOT is_bad").dropDuplicates(["line"]).join(ordered, "line").drop("is_bad", "line")
     indexer.index_records(good, order="arrival")
@@ -36,10 +37,10 @@ def ingest_lines(batch: DataFrame, indexer: Indexer, bad_path: str | None = None
 def start_ingest(spark: SparkSession, folder: str, indexer: Indexer, checkpoint: str, bad_path: str | None = None, files_per_batch: int = 128, once: bool = True) -> StreamingQuery:
     """Follow ``folder``; with ``once`` stop when what is there has been taken in."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         lines = df.withColumn("place", F.monotonically_increasing_id()).persist()
         try:
-            ingest_lines(lines, indexer, bad_path)
+            ingest_lines(lines, indexer, bad_path, number)
         finally:
             lines.unpersist()
 
