@@ -16,12 +16,9 @@ U64 = np.uint64
 BLOCK = 1 << 21
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
+_ODD = U64(0x9E3779B97F4A7C15)
 _SHIFT = _rng.integers(1, 2**63, 8, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -55,28 +52,47 @@ def runs(offs: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Longer words are hashed one by one; shorter ones eight bytes at a time, all together.
+_WIDE = 512
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def _long_word(raw: np.ndarray) -> np.uint64:
+    """The hash of one word of any length (its bytes, zeros up to a multiple of eight)."""
+    eights = raw.view("<u8")
+    h = mix(np.arange(1, len(eights) + 1, dtype=U64) * _ODD) | U64(1)
+    return mix(np.array([(eights * h).sum(dtype=U64)], U64))[0]
 
 
 def _words(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``raw`` and their start bytes; ``first``: where texts begin."""
-    low = _LOWER[raw]
-    gap = _SPACE[low]
-    start = ~gap
-    head = np.zeros(len(raw), bool)
-    head[first[first < len(raw)]] = True
-    start[1:] &= gap[:-1] | head[1:]
-    at = np.flatnonzero(start)
+    n = len(raw)
+    gap = (raw == 32) | ((raw - np.uint8(9)) < 5)
+    cut = np.ones(n + 1, bool)  # no word goes on across here
+    cut[1:-1] = gap[:-1]
+    cut[first[first < n]] = True
+    at = np.flatnonzero(cut[:-1] & ~gap)
     if not len(at):
         return np.zeros(0, U64), at
-    size = np.diff(np.append(at, len(raw)))
-    place = np.arange(at[0], len(raw)) - np.repeat(at, size)
-    value = _BYTE[low[at[0] :]] * _powers(int(size.max()))[place]
-    value[gap[at[0] :]] = 0
-    return mix(np.add.reduceat(value, at - at[0])), at
+    cut = cut[1:]
+    cut[:-1] |= gap[1:]
+    size = np.flatnonzero(cut & ~gap) + 1 - at
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = raw + (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    eight = np.ndarray((n,), "<u8", low, strides=(1,))
+    h = mix((eight[at] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(U64) * _ODD))
+    more, done = np.flatnonzero(size > 8), 8
+    while done < _WIDE and len(more):
+        part = eight[at[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]
+        h[more] = mix(h[more] * _ODD ^ part)
+        done += 8
+        more = more[size[more] > done]
+    for i in more:
+        word = np.zeros(-(-int(size[i]) // 8) * 8, np.uint8)
+        word[: size[i]] = low[at[i] : at[i] + size[i]]
+        h[i] = h[i] ^ _long_word(word)
+    return h, at
 
 
 def word_table(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,3 +155,38 @@ def gram_buckets(raw: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator
             x ^= x >> np.uint32(15)
             x *= np.uint32(0xC2B2AE35)
             yield n, x >> np.uint32(32 - bits)
+
+
+class Keys:
+    """Whether 64-bit keys are among some: a table of their top bits first, then a search of those left.
+    Built where it is first used, so that only the keys are sent."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.table = keys, None
+
+    def __getstate__(self) -> tuple:
+        return self.keys, None
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.table = state
+
+    def _build(self) -> None:
+        if self.table is None:
+            self.keys = np.sort(self.keys.view(U64))
+            self.table = np.zeros(1 << self.BITS, bool)
+            self.table[self.keys >> U64(64 - self.BITS)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        self._build()
+        out = self.table[keys >> U64(64 - self.BITS)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.keys[np.minimum(self.place(keys[at]), len(self.keys) - 1)] == keys[at]
+        return out
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys stand, or would, in the order of those there are."""
+        self._build()
+        return np.searchsorted(self.keys, keys)

@@ -1,7 +1,7 @@
 """Shared scratch tables: cut lineage with files that every executor can read.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-setting is absent (tests, a laptop) is a folder of our own made and remembered.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
+setting is absent and all tasks run on this machine (tests, a laptop) is a folder of our own made.
 """
 
 from __future__ import annotations
@@ -9,19 +9,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for this application's scratch tables."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
+    """The shared folder for this application's scratch tables; an error on a cluster that names none."""
+    context = spark.sparkContext
+    base, app = context.getConf().get("spark.checkpoint.dir", None), context.applicationId
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, tempfile.mkdtemp(prefix="sonde-scratch-"))
-    return f"{base.rstrip('/')}/sonde-{spark.sparkContext.applicationId}"
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="sonde-scratch-")
+        base = _OWN[app]
+    return f"{base.rstrip('/')}/sonde-{app}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +40,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, as one text may be megabytes long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def longs(df: DataFrame) -> list[np.ndarray]:
+    """The columns (longs, none null) of a table of bounded size, by way of Arrow whatever the session's settings."""
+    table = df.toArrow()
+    return [table.column(c).to_numpy().astype(np.int64, copy=False) for c in df.columns]

@@ -80,12 +80,24 @@ def test_winnowing_picks_a_run_in_every_passage():
     key, whole = lt._windows(h, start, lt.LONG)
     at = [s + i for s, n in zip(start, sizes) for i in range(n - lt.LONG + 1)]
     assert list(np.flatnonzero(whole)) == at
-    picked = lt._picked(h, start)
+    picked, _ = lt._picked(h, start)
     assert all(((picked >= i) & (picked <= i + lt.LONG - lt.GRAM)).any() for i in at) and picked.min() >= 52
     same = lt._windows(np.concatenate([h[:7], h[200:260]]), np.array([0, 67]), lt.LONG)[0]
     assert list(same[7:]) == list(key[200:211]) and len(set(key[at].tolist())) == len(set(tuple(h[i : i + lt.LONG]) for i in at))
 
 
+def test_lines_are_cut_from_bytes_as_from_lists():
+    for seed in range(2000):
+        r = random.Random(seed)
+        texts = ["".join(r.choice("ab\n\né") for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 4))]
+        gone = [(d, n) for d, t in enumerate(texts) for n in range(t.count("\n") + 1) if r.random() < 0.4]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        left, ends, had = lt._without(raw, offs, np.array([d for d, _ in gone], int), np.array([n for _, n in gone], int))
+        want = ["\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in enumerate(texts)]
+        assert [left[a:b].tobytes().decode() for a, b in zip(ends[:-1], ends[1:])] == want and had.tolist() == [t.count("\n") + 1 for t in texts]
+
+
 def test_clouds_of_near_copies_do_not_shield_boilerplate(spark):
     r = random.Random(4)
     notice = "this text is under the licence of the old press"
