@@ -84,5 +84,36 @@ def test_both_libraries_agree_on_all_characters_of_the_fast_path():
             assert fast(text) == own.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_runs_of_white_space_are_words_of_their_own(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(p.default_tokenizer())
+    monkeypatch.setattr(p, "BLANK_RUN", 3)
+    p._encoder.cache_clear()
+    encode, r = p._encoder(p.default_tokenizer()), random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "1", "!", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "é", "'s", "    "]) for _ in range(r.randint(0, 12)))
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids, repr(text)
+    p._encoder.cache_clear()
+
+
+def test_texts_of_ten_million_characters(spark):
+    from tokenizers import Tokenizer
+
+    own, n = Tokenizer.from_file(p.default_tokenizer()), 10_000_000
+    units = ["\n \t", " ", "a", "!", "ab  \n"]
+    texts = spark.range(len(units) + 1, numPartitions=len(units) + 1).selectExpr(
+        "id AS doc_id", "CASE id " + " ".join(f"WHEN {i} THEN repeat('{u}', {n // len(u)})".replace("\n", "\\n").replace("\t", "\\t") for i, u in enumerate(units)) + f" ELSE repeat('\U0001f600', {n // 20}) END AS text"
+    )
+    got = p.pack_documents(texts).orderBy("doc_id", "piece").toPandas()
+    for i, u in enumerate([*units, "\U0001f600"]):
+        mine, text = got[got.doc_id == i], u * (n // len(u) if i < len(units) else n // 20)
+        assert mine.length.sum() == mine.start.iloc[-1] + mine.length.iloc[-1]
+        if i in (0, 2, 5):
+            ids = np.array([*own.encode(text, add_special_tokens=False).ids, 2], "<u4")
+            assert mine.length.sum() == len(ids)
+            assert mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(mine.start, mine.length)]
+
+
 def test_empty_table(spark):
     assert p.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
