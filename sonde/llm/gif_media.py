@@ -6,8 +6,10 @@ two clear codes follow from a code's number alone, so codes are cut from the bit
 bulk; and the entry a code adds is the text of that code plus the byte after it in the output,
 so every code copies an earlier stretch of the output, resolved by pointer doubling.
 
-The encoder stores 8-bit samples losslessly under a grey palette, as many frames as needed. It
-emits literals with a clear code before codes widen, which any GIF reader accepts.
+The encoder stores bytes losslessly as grey pixels, as many frames as needed, by LZW with a full table.
+A frame of up to 128 different bytes gets a palette of its own and shorter codes; one that repeats
+at least half of the frame before leaves those pixels transparent, over a frame that is kept (disposal 1);
+frames that nothing is drawn upon are cleared (disposal 2). ``shown`` reads the bytes back.
 """
 
 from __future__ import annotations
@@ -46,17 +48,37 @@ class Frame:
 # --- writing
 
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    """9-bit codes: a clear code, then at most 254 literals, and so on; then end of information."""
-    n = len(samples)
-    groups = -(-n // 254)
-    codes = np.full((groups, 255), 256, np.uint16)
-    flat = np.zeros(groups * 254, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(groups, 254)
-    codes = np.append(codes.ravel()[: n + groups], np.uint16(257))
-    bits = (codes[:, None] >> np.arange(9, dtype=np.uint16)).astype(np.uint8) & 1
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+def lzw_encode(samples: bytes, least: int) -> bytes:
+    """The code stream of samples below 1 << ``least``: a clear code whenever the table is full."""
+    clear, codes, table, code = 1 << least, [1 << least], {}, samples[0]
+    known, put, free = table.get, codes.append, (1 << least) + 2
+    for sample in samples[1:]:
+        key = code << 8 | sample
+        longer = known(key)
+        if longer is not None:
+            code = longer
+            continue
+        put(code)
+        code = sample
+        if free < 4096:
+            table[key] = free
+            free += 1
+        else:
+            put(clear)
+            table.clear()
+            free = clear + 2
+    put(code)
+    put(clear + 1)
+    all_codes = np.array(codes, np.uint16)
+    at = np.arange(len(codes))
+    number = at - np.maximum.accumulate(np.where(all_codes == clear, at, -1)) - 1  # codes since the clear code before
+    number[all_codes == clear] = np.diff(np.append(0, np.flatnonzero(all_codes == clear))) - 1
+    number[0] = 0
+    entries = clear + 2 + np.maximum(0, number - 1)
+    width = np.minimum(12, np.maximum(least + 1, np.frexp(entries.astype(float))[1]))
+    nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    bits = (np.repeat(all_codes, width) >> nth.astype(np.uint16)).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _sub_blocks(data: bytes) -> bytes:
@@ -67,21 +89,55 @@ def _sub_blocks(data: bytes) -> bytes:
     return blocks + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
+def _kept(part: np.ndarray, before: np.ndarray | None) -> np.ndarray | None:
+    """Where a frame repeats the one before, if that is at least half of it."""
+    if before is None:
+        return None
+    same = part == before[: len(part)]
+    return same if 2 * same.sum() >= len(part) else None
+
+
 def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS_PER_FRAME, delay_ms: int = DELAY_MS) -> bytes:
-    """A grey animation whose frames' samples, in order, are ``payload`` (a positive multiple of ``width`` bytes)."""
+    """A grey animation that shows ``payload`` (a positive multiple of ``width`` bytes), frame by frame."""
     if not payload or len(payload) % width:
         raise ValueError("the payload is not a positive multiple of the width")
     samples = np.frombuffer(payload, np.uint8)
-    height = min(rows, len(payload) // width)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), GREY.tobytes()]
-    for i in range(0, len(samples), width * height):
-        part = samples[i : i + width * height]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay_ms // 10, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08")
-        out.append(_sub_blocks(_literal_stream(part)))
+    size = min(rows, len(payload) // width) * width
+    parts = [samples[i : i + size] for i in range(0, len(samples), size)]
+    kept = [_kept(x, y) for x, y in zip(parts, [None, *parts], strict=False)]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, size // width, 0xF7, 0, 0), GREY.tobytes()]
+    for part, same, later in zip(parts, kept, [*kept[1:], None], strict=True):
+        used = np.zeros(256, bool)
+        used[part if same is None else part[~same]] = True
+        colours, clear = np.flatnonzero(used), None
+        if same is not None and len(colours) < 256:
+            clear = int(np.argmin(used)) if len(colours) > 127 else len(colours)
+        if len(colours) + (clear is not None) <= 128:
+            least = max(2, (len(colours) + (clear is not None) - 1).bit_length())
+            index = np.zeros(256, np.uint8)
+            index[colours] = np.arange(len(colours))
+            palette = np.zeros(1 << least, np.uint8)
+            palette[: len(colours)] = colours
+            local, body = 0x80 | least - 1, np.repeat(palette, 3).tobytes()
+            pixels = index[part]
+        else:
+            least, local, body, pixels = 8, 0, b"", part
+        if clear is not None:
+            pixels = np.where(same, np.uint8(clear), pixels)
+        disposal = 1 if later is not None else 2
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (clear is not None), delay_ms // 10, clear or 0, 0))
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, local) + body + bytes([least]))
+        out.append(_sub_blocks(lzw_encode(pixels.tobytes(), least)))
     return b"".join([*out, b"\x3b"])
 
 
+def shown(samples: bytes, palette: bytes, transparent: int | None, before: np.ndarray | None) -> np.ndarray:
+    """The grey pixels (red of their colours) that a frame shows over what its rectangle showed before."""
+    index = np.frombuffer(samples, np.uint8)
+    grey = np.frombuffer(palette, np.uint8)[::3][index]
+    return grey if transparent is None else np.where(index == transparent, before[: len(index)], grey)
+
+
 # --- reading
 
 
@@ -260,14 +316,14 @@ def store_gifs(rows: DataFrame, payload: str, gif: str = "gif") -> DataFrame:
 
 def gif_frames(rows: DataFrame, gif: str = "gif") -> DataFrame:
     """One row per frame of each GIF, a GIF's frames together and in order: the other columns
-    of ``rows``, frame (from 0), start_ms, delay_ms, disposal, left, top, width, height, samples,
-    palette, histogram (65 counts of the canvas as shown), error. Columns of these names are replaced.
+    of ``rows``, frame (from 0), start_ms, delay_ms, disposal, transparent, left, top, width, height,
+    samples, palette, histogram (65 counts of the canvas as shown), error. Columns of these names are replaced.
 
     A null or malformed GIF gives, after the frames before the fault, one row with frame null
     and the fault in ``error``. An empty table gives no rows.
     """
     small_batches(rows.sparkSession, 256)
-    own = ["frame", "start_ms", "delay_ms", "disposal", "left", "top", "width", "height", "samples", "palette", "histogram", "error"]
+    own = ["frame", "start_ms", "delay_ms", "disposal", "transparent", "left", "top", "width", "height", "samples", "palette", "histogram", "error"]
     keep = [c for c in rows.columns if c != gif and c not in own]
 
     def frames(data: bytes | None) -> Iterator[tuple]:
@@ -275,10 +331,10 @@ def gif_frames(rows: DataFrame, gif: str = "gif") -> DataFrame:
         try:
             for i, f in enumerate(decode_gif(data or b"")):
                 h, w = f.samples.shape
-                yield i, now, f.delay_ms, f.disposal, f.left, f.top, w, h, f.samples.tobytes(), f.palette.tobytes(), colour_histogram(f.canvas).tolist(), None
+                yield i, now, f.delay_ms, f.disposal, f.transparent, f.left, f.top, w, h, f.samples.tobytes(), f.palette.tobytes(), colour_histogram(f.canvas).tolist(), None
                 now += f.delay_ms
         except GifError as e:
-            yield (*[None] * 11, str(e))
+            yield (*[None] * 12, str(e))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -286,7 +342,7 @@ def gif_frames(rows: DataFrame, gif: str = "gif") -> DataFrame:
             for *kept, data in pdf[[*keep, gif]].itertuples(index=False, name=None):
                 for f in frames(data):
                     held.append((*kept, *f))
-                    size += len(f[8] or b"")
+                    size += len(f[9] or b"")
                     if size > 4 << 20:
                         yield table(held)
                         held, size = [], 0
@@ -295,10 +351,10 @@ def gif_frames(rows: DataFrame, gif: str = "gif") -> DataFrame:
 
     def table(held: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(held, columns=[*keep, *own], dtype=object)
-        return out.astype({c: "Int64" for c in own[:8]})
+        return out.astype({c: "Int64" for c in own[:9]})
 
     schema = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    schema += [f"{c} long" for c in own[:8]] + ["samples binary", "palette binary", "histogram array<long>", "error string"]
+    schema += [f"{c} long" for c in own[:9]] + ["samples binary", "palette binary", "histogram array<long>", "error string"]
     return rows.select(*keep, gif).mapInPandas(run, ", ".join(schema))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import url_reputation
 from .chat_format import digest_conversations, format_conversations
-from .gif_media import gif_frames, padded_payload, store_gifs
+from .gif_media import gif_frames, padded_payload, shown, store_gifs
 from .language_id import identify_languages, train_languages
 from .line_templates import drop_recurring_lines
 from .minmax_dedup import near_duplicates
@@ -79,7 +79,7 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The payload of each GIF read back from its frames through their palettes, and its colours over time."""
+    """The payload of each GIF read back from what its frames show, and its colours over time."""
     head = state = None
 
     def result() -> tuple:
@@ -93,8 +93,9 @@ def _payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if f.frame == 0:
                 if state:
                     out.append(result())
-                head, state = f, {"n": 0, "sha": hashlib.sha256(), "tail": b"", "histogram": np.zeros(65, np.int64), "frames": 0, "ms": 0}
-            red = np.frombuffer(f.palette, np.uint8)[::3][np.frombuffer(f.samples, np.uint8)].tobytes()
+                head, state = f, {"n": 0, "sha": hashlib.sha256(), "tail": b"", "before": None, "histogram": np.zeros(65, np.int64), "frames": 0, "ms": 0}
+            state["before"] = shown(f.samples, f.palette, None if pd.isna(f.transparent) else f.transparent, state["before"])
+            red = state["before"].tobytes()
             state["sha"].update(red)
             state["n"] += len(red)
             state["tail"] = (state["tail"] + red)[-16:]
