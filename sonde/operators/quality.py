@@ -90,6 +90,11 @@ def score_all(chunks: DataFrame, embedded: DataFrame | None = None, rescore: boo
     return done.unionByName(new.select(*chunks.columns))
 
 
+def unscored(chunks: DataFrame) -> DataFrame:
+    """Chunks without a score, by id."""
+    return chunks.where("structural_score IS NULL").orderBy("chunk_id")
+
+
 def run_counts(scored: DataFrame) -> DataFrame:
     """One row: total, flagged, structural_only, coherence_only, both."""
     s, c = F.col("structural") <= fixed.STRUCTURAL_THRESHOLD, F.coalesce(F.col("coherence") < fixed.COHERENCE_THRESHOLD, F.lit(False))

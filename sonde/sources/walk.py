@@ -51,13 +51,30 @@ class IgnoreRules:
         self.rules = rules
 
     def extended(self, directory: str, in_git: bool) -> IgnoreRules:
-        more = []
+        out = self
         for name in IGNORE_FILES if in_git else IGNORE_FILES[:1]:
-            path = os.path.join(directory, name)
-            if os.path.isfile(path):
-                lines = Path(path).read_text(errors="replace").splitlines()
-                more += [(directory, x.rstrip()) for x in lines if x.strip() and not x.startswith("#")]
-        return IgnoreRules((*self.rules, *more)) if more else self
+            out = out.with_file(os.path.join(directory, name), directory)
+        return out
+
+    def with_file(self, path: str, base: str) -> IgnoreRules:
+        """With the rules of a file, which hold below ``base``."""
+        if not os.path.isfile(path):
+            return self
+        lines = Path(path).read_text(errors="replace").splitlines()
+        return IgnoreRules((*self.rules, *((base, x.rstrip()) for x in lines if x.strip() and not x.startswith("#"))))
+
+    @staticmethod
+    def above(root: str) -> IgnoreRules:
+        """The rules that hold at ``root`` already: of the user, of the repository, and of the directories above."""
+        parents = [*map(str, reversed(Path(root).parents))]
+        tops = [p for p in [*parents, root] if os.path.isdir(os.path.join(p, ".git"))]
+        out = IgnoreRules()
+        if tops:
+            home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+            out = out.with_file(os.path.join(home, "git", "ignore"), tops[-1]).with_file(os.path.join(tops[-1], ".git", "info", "exclude"), tops[-1])
+        for p in parents:
+            out = out.extended(p, bool(tops) and p.startswith(tops[-1]))
+        return out
 
     def ignores(self, path: str, is_dir: bool) -> bool:
         out = False
@@ -95,7 +112,7 @@ def walk(root: str, exclude: tuple[str, ...] = ()) -> Iterator[str]:
             elif entry.is_file() and not ignored_name(entry.name) and not rules.ignores(entry.path, False) and entry.stat().st_size <= fixed.MAX_FILE_SIZE:
                 yield entry.path
 
-    yield from visit(root, IgnoreRules())
+    yield from visit(root, IgnoreRules.above(root))
 
 
 def read_bytes(path: str) -> bytes:

@@ -64,15 +64,15 @@ def hits(spark, rows, rank):
 
 def test_rrf_and_path_boost(spark):
     none = hits(spark, [], "sparse")
-    asked = spark.createDataFrame([(0, "incremental indexing merkle tree drift detection")], "query_id long, query string")
-    dense = hits(spark, [(0, 1, "/d/notes.md", 1, "", 0.1, 1), (0, 2, "/d/incremental_indexer.py", 1, "", 0.2, 2)], "dense")
+    asked = spark.createDataFrame([(0, "tidal sounding of old harbour walls")], "query_id long, query string")
+    dense = hits(spark, [(0, 1, "/d/notes.md", 1, "", 0.1, 1), (0, 2, "/d/tidal_sounder.py", 1, "", 0.2, 2)], "dense")
     got = fusion.rrf_fuse(dense, none, asked).orderBy("fused_rank").collect()
     assert [r["chunk_id"] for r in got] == [2, 1]
     assert got[0]["rrf_score"] == pytest.approx(1 / 62 + 1.5 / 61) and got[1]["rrf_score"] == pytest.approx(1 / 61)
     plain = fusion.rrf_fuse(dense, hits(spark, [(0, 2, "x", 1, "", -1.0, 1), (0, 3, "z", 1, "", -0.5, 2)], "sparse"), asked, Weights(1, 1, 0)).collect()
     assert {r["chunk_id"]: round(r["rrf_score"], 9) for r in plain} == {1: round(1 / 61, 9), 2: round(1 / 62 + 1 / 61, 9), 3: round(1 / 62, 9)}
     assert all(r["file_uri"] != "x" for r in plain) and Weights.resolve({"SONDE_W_PATH": "2", "SONDE_W_DENSE": "no"}) == Weights(1.0, 0.4, 2.0)
-    best = fusion.rrf_fuse(hits(spark, [(0, 1, "/incremental.py", 1, "", 0.0, 1)], "dense"), hits(spark, [(0, 1, "/incremental.py", 1, "", -1.0, 1)], "sparse"), asked).first()
+    best = fusion.rrf_fuse(hits(spark, [(0, 1, "/tidal.py", 1, "", 0.0, 1)], "dense"), hits(spark, [(0, 1, "/tidal.py", 1, "", -1.0, 1)], "sparse"), asked).first()
     assert best["normalized_score"] == pytest.approx(1.0)
 
 
@@ -103,6 +103,32 @@ def test_nearest_and_cells(spark):
     assert left.count() == 9 and 2 not in {r["id"] for r in knn.nearest(left, asked, 9).collect()}
 
 
+def test_nearest_over_many_batches_and_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (700, 6)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 700, 50)], "query_id long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    got = {}
+    for r in knn.nearest(vectors, asked, 7).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for q in range(0, 700, 50):
+        d = np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 9)
+        assert got[q] == np.lexsort((np.arange(700), d))[:7].tolist()
+
+
+def test_means_of_more_groups_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(quality, "GROUPS_HELD", 3)
+    rows = [(i % 11, i % 3 + 1, [float(i), 1.0]) for i in range(300)] + [(0, 1, None)]
+    df = spark.createDataFrame(rows, "file_id long, tier int, vector array<double>").repartition(4)
+    got = {(r["file_id"], r["tier"]): r["mean"] for r in quality.parent_means(df).collect()}
+    for key in {r[:2] for r in rows}:
+        own = [v for f, t, v in rows if (f, t) == key and v]
+        assert got[key] == pytest.approx([sum(v[0] for v in own) / len(own), 1.0])
+
+
 def test_recall_of_search_in_cells(spark):
     from sonde import queries
 
@@ -142,6 +168,13 @@ def test_walk(tree):
     (tree / ".gitignore").write_text("*.csv\n/src/\n!main.rs\n# x\n")
     listed = {os.path.relpath(p, tree) for p in walk.walk(str(tree), exclude=("firebase",))}
     assert listed == {"README.md", "main.rs", ".hidden.txt", ".gitignore"}
+    (tree / ".git" / "info").mkdir()
+    (tree / ".git" / "info" / "exclude").write_text("lib.rs\n")
+    (tree / ".gitignore").write_text("*.csv\n")
+    (tree / ".ignore").write_text("src/odd.txt\n")
+    for name in ("odd.txt", "even.txt", "a.csv"):
+        (tree / "src" / name).write_text("x")
+    assert {os.path.relpath(p, tree) for p in walk.walk(str(tree / "src"))} == {"src/even.txt"}  # rules from above the root
     with pytest.raises(NotFound):
         list(walk.walk(str(tree / "none")))
     big = tree / "big.txt"

@@ -19,23 +19,23 @@ def test_stable_ids(spark, tier, index, want):
 
 @pytest.mark.parametrize(
     "name,tokens",
-    [("C++", ["cpp"]), ("C#", ["csharp"]), ("F# parser", ["fsharp", "parser"]), ("ASP.NET core", ["asp", "dotnet", "core"]), ("RowFileSearch", ["row", "file", "search"]), ("ASTChunker", ["ast", "chunker"]), ("hybridRetriever", ["hybrid", "retriever"])],
+    [("C++", ["cpp"]), ("C#", ["csharp"]), ("F# parser", ["fsharp", "parser"]), ("ASP.NET core", ["asp", "dotnet", "core"]), ("TideTableReader", ["tide", "table", "reader"]), ("XMLHarbour", ["xml", "harbour"]), ("quickSounding", ["quick", "sounding"])],
 )
 def test_name_tokens(spark, name, tokens):
     assert one(spark, text.name_tokens(F.lit(name))) == tokens
 
 
-@pytest.mark.parametrize("a,b,want", [("indexer", "indexing", True), ("retriever", "retrieval", True), ("hybrid", "hybrid", True), ("index", "ledger", False), ("cat", "car", False)])
+@pytest.mark.parametrize("a,b,want", [("sounder", "sounding", True), ("navigator", "navigation", True), ("buoy", "buoy", True), ("harbour", "ledger", False), ("cat", "car", False)])
 def test_token_matches(spark, a, b, want):
     assert one(spark, text.token_matches(F.lit(a), F.lit(b))) is want
 
 
 def test_path_coverage(spark):
     q = lambda s: text.name_tokens(F.lit(s))
-    for uri in ("C:\\x\\src\\incremental_indexer.py", "/x/src/incremental_indexer.py"):
-        assert one(spark, text.path_coverage(F.lit(uri), q("incremental indexing merkle tree drift detection"))) == 1.0
-    assert one(spark, text.path_coverage(F.lit("/a/RowFileSearch.py"), q("recursive file search walker"))) == pytest.approx(2 / 3)
-    assert one(spark, text.path_coverage(F.lit("/a/other.py"), q("recursive file"))) == 0.0
+    for uri in ("C:\\x\\src\\tidal_sounder.py", "/x/src/tidal_sounder.py"):
+        assert one(spark, text.path_coverage(F.lit(uri), q("tidal sounding of old harbour walls"))) == 1.0
+    assert one(spark, text.path_coverage(F.lit("/a/TideTableReader.py"), q("seasonal table reader walker"))) == pytest.approx(2 / 3)
+    assert one(spark, text.path_coverage(F.lit("/a/other.py"), q("seasonal table"))) == 0.0
     assert one(spark, text.path_coverage(F.lit("/a/other.py"), q(""))) == 0.0
 
 
@@ -144,3 +144,45 @@ def test_registered_functions(spark):
     rows = spark.createDataFrame([(m,) for m in mimes], "m string").select("m", text.parser_for(text.normal_mime(F.col("m"))).alias("p")).collect()
     assert all(parser_name(r["m"]) == r["p"] for r in rows)
     assert spark.sql("SELECT c.tier FROM VALUES (X'FF00') AS t(x), LATERAL sonde_chunks(x, 'application/vnd.ms-excel', 'n', 'u') c").collect() == []
+
+
+def test_segmentation_can_be_turned_off(spark, monkeypatch):
+    assert one(spark, text.name_tokens(F.lit("TideTableReader C++"), segment=False)) == ["tidetablereader", "cpp"]
+    monkeypatch.setenv("SONDE_SEGMENT", "off")
+    assert one(spark, text.name_tokens(F.lit("TideTable"))) == ["tidetable"]
+
+
+@pytest.mark.parametrize("unit", ["plain words. ", "naïve wörds €😀 "])
+def test_long_texts_are_cut_in_linear_time(spark, unit):
+    import time
+
+    def run(n):
+        began = time.time()
+        parts = spark.range(1).select(F.repeat(F.lit(unit), F.col("id").cast("int") + n).alias("t")).select(F.md5(F.array_join(text.budget_segments(F.col("t"), 500), "").cast("binary")), F.md5(F.col("t").cast("binary"))).first()
+        assert parts[0] == parts[1]
+        return time.time() - began
+
+    run(1000)
+    size = 16_000_000 // len(unit.encode())
+    assert run(size) < 30
+
+
+def test_groups_over_many_blocks(spark):
+    counts = [1 + (7 * i) % 90 for i in range(1000)]
+    want, group, used = [], 0, 0
+    for i, n in enumerate(counts):
+        if i and used + n > 200:
+            group, used = group + 1, 0
+        used += n
+        want.append(group)
+    assert one(spark, text.packed_groups(F.array(*map(F.lit, counts)), 200)) == want
+    assert one(spark, text.packed_groups(F.array().cast("array<int>"), 200)) == []
+
+
+@pytest.mark.parametrize("marks,want", [("", True), ("(" * 30 + ")" * 30, True), ("([{}])[]{()}", True), ("([)]", False), ("((((((", False), ("}{", False), ("{[(((((([])))))))]}", False), ("[((((((()))))))]", True), ("(((((([))))))]", False)])
+def test_brackets(spark, marks, want):
+    from sonde.functions.register import balanced as by_stack
+    from sonde.functions.vectors import balanced
+
+    noisy = "a ".join(marks) + " b"
+    assert one(spark, balanced(F.lit(noisy))) is want and by_stack(noisy) is want
