@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     width, percent = int(width), int(percent)
     sketch = materialize(shingle_documents(docs, doc_id, text, width, percent), "mm-sketch")
     some = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("bands").alias("bands"))
+    reps = materialize(some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("bands").alias("bands")), "mm-reps")
     banded = reps.select(F.col("r.doc_id").alias("rep"), F.col("r.rk").alias("rk"), "n", F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     members = materialize(banded.join(shared, "h"), "mm-members")
@@ -196,16 +196,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     many = dealt.where("blocks > 1")
     if not many.limit(1).isEmpty():
         lone = first.where("b IS NULL").select("p", "prk", F.col("a").alias("m"), F.lit(False).alias("joined")).distinct()
-        part = many.join(lone, ["p", "prk", "m"], "left").withColumn("joined", F.coalesce("joined", F.lit(True)))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        sided = part.withColumn("other", other).where("block <> other")
-        left = sided.where("NOT joined").select("p", "prk", "m", "rk", "joined", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-        right = sided.select("p", "prk", "m", "rk", "joined", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-        links = links.unionByName(_second_pass(left.unionByName(right).join(texts, ["m", "rk"]), width, percent))
+        part = materialize(many.join(lone, ["p", "prk", "m"], "left").withColumn("joined", F.coalesce("joined", F.lit(True))), "mm-part")
+        links = links.unionByName(_second_pass(_sides(part).join(texts, ["m", "rk"]), width, percent))
 
     labels = connected_components(links, "mm-cc")
-    classes = reps.groupBy("f1", "f2", "n").agg(F.first("r").alias("r")).select("f1", "f2", "n", F.col("r.doc_id").alias("v"))
-    classes = classes.join(labels, "v", "left").select("f1", "f2", "n", F.coalesce("component", "v").alias("component_id"))
+    classes = reps.select("f1", "f2", "n", F.col("r.doc_id").alias("v")).join(labels, "v", "left")
+    # Written first, so that the join below reads two plain tables and a hot class can be split.
+    classes = materialize(classes.select("f1", "f2", "n", F.coalesce("component", "v").alias("component_id")), "mm-classes")
     out = sketch.select("doc_id", "rk", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), "rk").select(
@@ -213,6 +210,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def _sides(part: DataFrame) -> DataFrame:
+    """Members of blocks i and j (side 0 and 1) to compare: those of i that the pivot does not hold with all of j.
+    Blocks without such members, as side 0, bring no rows."""
+    left = part.where("NOT joined").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> j")
+    asking = part.where("NOT joined").select("p", "prk", F.col("block").alias("i")).distinct()
+    right = part.join(asking, ["p", "prk"]).where("block <> i")
+    rows = left.select("p", "prk", "m", "rk", "joined", F.col("block").alias("i"), "j", F.lit(0).alias("side"))
+    return rows.unionByName(right.select("p", "prk", "m", "rk", "joined", "i", F.col("block").alias("j"), F.lit(1).alias("side")))
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str, dealt: DataFrame) -> DataFrame:
     """(m, rk, text) of the candidate documents, one row each."""
     need = dealt.select("m", "rk").unionByName(dealt.select(F.col("p").alias("m"), F.col("prk").alias("rk"))).distinct()
