@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .features import blocks, doc_grams, logistic
 from .kernels import utf8
-from .scratch import small_batches
+from .scratch import fresh_name, materialize, small_batches
 
 SIZES, BITS = (3, 4, 5, 6), 20
-#: The most labelled rows that are learnt from, about half of each class if there are so many; chosen by a hash of doc_id.
+#: The most labelled texts that are learnt from, half of each class if there are so many; chosen by a hash of the text.
 MAX_TRAIN = 8000
 FEATURES, CAP, SMOOTH, RIDGE = 600, 6, 0.5, 1.0
 
@@ -69,26 +69,28 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Fit on the texts of ``docs`` that ``labels`` (doc_id, 0/1) marks.
 
-    Null labels or ids are left out; a doc_id labelled twice counts as toxic if any label is.
+    Null labels or ids are left out; a text labelled twice counts as toxic if any label is, and
+    counts once, however many rows hold it, so that ``MAX_TRAIN`` bounds what is learnt from and sent to
+    the driver. Null texts are empty; long ones are whole; ties in the choice go by the text's hash.
     Without labels of both classes the model gives every text the share of toxic labels (0 without any).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
-        share = 1.0 if 1 in size else 0.0
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 20.0 * (2 * share - 1))
-    small = min(MAX_TRAIN // 2, *size.values())
-    rate = {c: min(1.0, (small if n == small else MAX_TRAIN - small) / n) for c, n in size.items()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / (1 << 30)
-    picked = known.where(draw < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))  # about MAX_TRAIN rows at most
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
-    counts = rows.mapInArrow(_tally, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    both = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
-    n = {r["label"]: r["n"] for r in both}
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    known = materialize(keyed.select("id", "t").join(known, "id").groupBy("t").agg(F.max("label").alias("label")), "tox-known")
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 20.0 * (2 * (1 in n) - 1))
+    small = min(MAX_TRAIN // 2, *n.values())
+    total = {c: min(k, small if k == small else MAX_TRAIN - small) for c, k in n.items()}
+    rate = {c: total[c] / k for c, k in n.items()}
+    chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("t", F.lit(4)), "t").limit(total[c]) for c in n]
+    picked = chosen[0].unionByName(chosen[1])  # ``MAX_TRAIN`` rows at most
+    once = keyed.select("t", "text").join(F.broadcast(picked), "t").groupBy("t").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+    rows = materialize(once.repartition(spark.sparkContext.defaultParallelism, "t").select("text", "label"), "tox-sample")
+    n = total
+    counts = rows.mapInArrow(_tally, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = F.log((F.col("toxic") + SMOOTH) / (n[1] + 2 * SMOOTH)) - F.log((F.col("clean") + SMOOTH) / (n[0] + 2 * SMOOTH))
     error = F.sqrt(1 / (F.col("toxic") + SMOOTH) + 1 / (F.col("clean") + SMOOTH))
     best = counts.where("toxic + clean >= 3").select("bucket", ratio.alias("r"), F.abs(ratio / error).alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
@@ -104,7 +106,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
                 dense[a + row, which] = count
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in dense], pa.binary())], names=["label", "x"])
 
-    got = rows.mapInArrow(vectors, "label int, x binary").toPandas()  # about MAX_TRAIN rows of FEATURES bytes
+    got = rows.mapInArrow(vectors, "label int, x binary").toPandas()  # ``MAX_TRAIN`` rows of ``FEATURES`` bytes at most
     x = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(-1, width)
     order = np.lexsort((*x.T[:8], got["label"]))  # the same fit whatever order the rows came in
     y = got["label"].to_numpy()[order].astype(np.float64)
@@ -113,14 +115,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns (none of them named like a result) and score (0 to 1) of every row; null and empty texts get the score of no n-gram at all."""
+    """The ``keep`` columns and score (0 to 1) of every row.
+
+    Null and empty texts get the score of no n-gram at all; long ones are whole; null ids and repeated rows are
+    kept, each with its score; an empty table gives no rows. A kept column may not be called score (an error).
+    """
+    if "score" in {c.lower() for c in keep}:
+        raise ValueError("a kept column is named score")
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    mine = fresh_name(docs, "scored_text")
+    rows = docs.select(*keep, F.col(text).alias(mine))
     table, width, weights, bias = model.table(), max(1, len(model.buckets)), model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = utf8(batch.column("__text"))
+            raw, offs = utf8(batch.column(mine))
             total = np.full(batch.num_rows, bias)
             for a, b, text_, starts in blocks(raw, offs):
                 row, which, count = _capped_counts(text_, starts, table, width)

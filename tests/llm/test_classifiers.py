@@ -75,3 +75,77 @@ def test_grams_do_not_cross_texts_and_steps_lose_none():
         p, s = padded(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         alone += [(k, x) for r, b in doc_grams(p, s, (2, 3), 12) for x in b.tolist()]
     assert both == parts == sorted(alone)
+
+
+def test_repeated_rows_do_not_widen_the_sample(spark, monkeypatch):
+    seen, kind = [], type(spark.range(1))
+    real = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda self: seen.append(real(self)) or seen[-1])
+    monkeypatch.setattr(tox, "MAX_TRAIN", 50)
+    monkeypatch.setattr(li, "MAX_TRAIN", 60)
+    r = random.Random(1)
+    texts = [(i, prose(r, 20, "aeiostnrl") + (" zorgle" * 3 if i % 2 else "")) for i in range(300)]
+    one = spark.createDataFrame(texts, "doc_id long, text string")
+    many = one.unionByName(spark.range(20_000).selectExpr("1 AS doc_id", f"'{texts[1][1]}' AS text")).unionByName(spark.range(5_000).selectExpr("2 AS doc_id", "concat('other text ', id) AS text"))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    model = tox.train_toxicity(many, labels)
+    assert len(seen[-1]) == 50 and len(model.buckets)
+    named = many.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    noisy = named.unionByName(spark.range(150).selectExpr("id AS doc_id", "concat('x', id) AS text", "concat('l', id) AS lang"))
+    model = li.train_languages(noisy)
+    assert len(model.languages) == li.MAX_LANGUAGES and {"en", "de"} <= set(model.languages) and len(seen[-1]) <= 60
+
+
+def test_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, scored_text string, asked_text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    kept = ("doc_id", "scored_text", "asked_text")
+    assert tox.score_toxicity(docs, tox.train_toxicity(docs, none), kept).first()["scored_text"] == "x"
+    model = li.train_languages(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert li.identify_languages(docs, model, kept).first()["asked_text"] == "y"
+    with pytest.raises(ValueError):
+        tox.score_toxicity(docs.withColumn("Score", F.lit(1)), tox.train_toxicity(docs, none), ("Score",))
+    with pytest.raises(ValueError):
+        li.identify_languages(docs.withColumn("lang_pred", F.lit(1)), model, ("lang_pred",))
+
+
+def test_toxicity_features_by_hand(spark):
+    """Scores of a fitted model are those of counts taken one by one."""
+    from sonde.llm.kernels import gram_buckets
+
+    r = random.Random(3)
+    texts = [(i, prose(r, 12, "aeiostnrl") + (" zorgle zorgle" if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = tox.train_toxicity(docs, spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int"))
+    got = {x["doc_id"]: x["score"] for x in tox.score_toxicity(docs, model).collect()}
+    for i, t in texts:
+        plain = " " + "".join(c.lower() if c.isascii() and c.isalpha() else " " for c in t) + " "
+        counts = {}
+        for n in tox.SIZES:
+            for k in range(len(plain) - n + 1):
+                own = np.frombuffer(plain[k : k + n].encode(), np.uint8)
+                b = int(dict(gram_buckets(own, (n,), tox.BITS))[n][0])
+                counts[b] = counts.get(b, 0) + 1
+        total = model.bias + sum(w * min(tox.CAP, counts.get(int(b), 0)) for b, w in zip(model.buckets, model.weights))
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_language_decoding_by_hand(spark):
+    """Predictions of a fitted model are those of losses summed one by one."""
+    from sonde.llm.kernels import gram_buckets
+
+    r = random.Random(4)
+    letters = {"aa": "abcde", "bb": "efghi", "cc": "ijklm"}
+    rows = [(i, prose(r, 15, letters[k]), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train_languages(docs)
+    asked = [(i, prose(r, 8, "abcdefghijklm")) for i in range(30)]
+    got = {x["doc_id"]: x for x in li.identify_languages(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, t in asked:
+        plain, counts = np.frombuffer(f" {t} ".encode(), np.uint8), np.zeros(1 << li.BITS)
+        for n, b in gram_buckets(plain, li.SIZES, li.BITS):
+            np.add.at(counts, b, 1)
+        margins = np.sqrt(counts / counts.sum()) @ model.weights[:-1] + model.weights[-1]
+        loss = {k: sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, word)) for k, word in zip(model.languages, model.code)}
+        best = min(loss, key=loss.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(np.exp(loss[best] - x) for x in loss.values())) < 1e-3
