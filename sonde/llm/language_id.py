@@ -15,16 +15,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import blocks, doc_grams
 from .kernels import utf8
-from .scratch import small_batches
+from .scratch import fresh_name, materialize, small_batches
 
 SIZES, BITS = (1, 2, 3, 4), 12
-#: The most rows learnt from, shared evenly by the languages; chosen by a hash of doc_id and text.
+#: The most texts learnt from, shared evenly by the languages; chosen by a hash of the text.
 MAX_TRAIN = 3000
+#: The most languages learnt, those of the most different texts (on ties the first by name).
+MAX_LANGUAGES = 100
 RIDGE, STEPS = 1e-4, 300
 #: A lead in loss, per bit, under which a prediction is flagged.
 AMBIGUOUS = 0.15
@@ -84,17 +86,23 @@ def _top(x: np.ndarray) -> float:
 
 
 def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Learn from the rows whose lang and text are not null; a table without any gives a model without languages."""
+    """Learn from the rows whose lang and text are not null; a table without any gives a model without languages.
+
+    A text counts once for a language, however many rows hold it, so that ``MAX_TRAIN`` bounds what is learnt
+    from and sent to the driver. Texts are whole; null ids take part like others; ties in the choice go by the
+    text's hash. ``doc_id`` is not used.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    size = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
-    languages = tuple(sorted(size))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("t"))
+    known = materialize(rows.select("lang", "t").distinct(), "lang-known")
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = tuple(sorted(r["lang"] for r in top))
     code = codewords(len(languages))
     if len(languages) < 2:
         return LanguageModel(languages, code, np.zeros(((1 << BITS) + 1, 0)))
-    rate = F.coalesce(*(F.when(F.col(lang) == k, min(1.0, MAX_TRAIN / len(languages) / n)) for k, n in size.items()))
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / (1 << 30)
-    picked = rows.where(draw < rate).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("t", F.lit(6)), "t")
+    chosen = known.where(F.col("lang").isin(*languages)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_TRAIN // len(languages))
+    picked = rows.join(F.broadcast(chosen.select("lang", "t")), ["lang", "t"]).groupBy("lang", "t").agg(F.first("text").alias("text"))  # ``MAX_TRAIN`` rows at most
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +110,7 @@ def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out = [v.tobytes() for _, _, t, s in blocks(raw, offs) for v in _shares(t, s).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "x"])
 
-    got = picked.mapInArrow(vectors, "lang string, x binary").toPandas().sort_values(["lang", "x"])  # about MAX_TRAIN rows of 8 KB
+    got = picked.select("text", "lang").mapInArrow(vectors, "lang string, x binary").toPandas().sort_values(["lang", "x"])  # rows of 8 KB
     x = np.empty((len(got), 1 << BITS), np.float32)
     for row, raw in zip(x, got.pop("x"), strict=True):
         row[:] = np.frombuffer(raw, np.float16)
@@ -111,19 +119,23 @@ def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns (none of them named like a result), lang_pred, score and ambiguous of every row.
+    """The ``keep`` columns, lang_pred, score and ambiguous of every row; a kept column may not have one of these names (an error).
 
-    Null text and text without a letter, or any text under a model without languages: ``und``,
+    Null ids and repeated rows are kept, each with its prediction; long texts are whole; of equal losses the
+    first language by name wins, flagged as ambiguous; an empty table gives no rows. Null text and text without a letter, or any text under a model without languages: ``und``,
     score 0, ambiguous. Else the language of least loss; score is its share of exp(-loss).
     """
+    if {"lang_pred", "score", "ambiguous"} & {c.lower() for c in keep}:
+        raise ValueError("a kept column is named like a result")
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    mine = fresh_name(docs, "asked_text")
+    rows = docs.select(*keep, F.col(text).alias(mine))
     languages, code, weights = np.array([*model.languages, "und"], object), model.code, model.weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = utf8(batch.column("__text"))
-            letters = pc.match_substring_regex(pc.fill_null(batch.column("__text"), ""), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+            raw, offs = utf8(batch.column(mine))
+            letters = pc.match_substring_regex(pc.fill_null(batch.column(mine), ""), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
             best, score, lead = np.full(batch.num_rows, len(code)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for a, b, t, s in blocks(raw, offs):
                 if not len(code):
