@@ -108,6 +108,81 @@ def test_clouds_of_near_copies_do_not_shield_boilerplate(spark):
         assert set(dropped(spark, rows[: sum(clouds)]).values()) == {0}  # a cloud has one vote
 
 
+def by_hand(texts, least, votes=None):
+    """The lines dropped: sets of (text, line). ``votes``: that of each text (without: one of its own)."""
+    import re
+
+    vote = votes or list(range(len(texts)))
+
+    word = re.compile(r"[^\x20\x09-\x0d]+")
+    lines = {(d, n): ["#" if re.search("[0-9]", w) else w.lower() for w in word.findall(x)] for d, t in enumerate(texts) for n, x in enumerate(t.split("\n"))}
+    lines = {k: v for k, v in lines.items() if v}
+    leaves, out = {}, set()
+    for k, v in lines.items():
+        for leaf in {(len(v), "lead", *v[:3]), (len(v), "lead" if len(v) <= 3 else "tail", *(v[:3] if len(v) <= 3 else v[-3:]))}:
+            leaves.setdefault(leaf, []).append(k)
+    for own in leaves.values():
+        held, seen = {}, {}
+        for k in own:
+            for place, w in enumerate(lines[k]):
+                held.setdefault((place, w), set()).add(vote[k[0]])
+        for k in own:
+            fixed = [w if w != "#" and len(held[place, w]) >= least else None for place, w in enumerate(lines[k])]
+            if 2 * sum(x is not None for x in fixed) >= len(fixed):
+                seen.setdefault(tuple(fixed), set()).add(k)
+        out |= {k for found in seen.values() if len({vote[d] for d, _ in found}) >= least for k in found}
+    runs, windows = [[(w.lower(), n) for n, x in enumerate(t.split("\n")) for w in word.findall(x)] for t in texts], {}
+    for d, words in enumerate(runs):
+        for i in range(len(words) - 49):
+            windows.setdefault(tuple(w for w, _ in words[i : i + 50]), set()).add(vote[d])
+    for d, words in enumerate(runs):
+        cover = [False] * len(words)
+        for i in range(len(words) - 49):
+            if len(windows[tuple(w for w, _ in words[i : i + 50])]) >= 2:
+                cover[i : i + 50] = [True] * 50
+        for n in {n for _, n in words}:
+            if all(c for c, (_, m) in zip(cover, words) if m == n):
+                out.add((d, n))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_parser_by_hand_agrees(spark, seed):
+    r, texts = random.Random(seed), []
+    passage = prose(r, 30) + "\n" + prose(r, 35)
+    for i in range(60):
+        lines = [prose(r, 70)]
+        for _ in range(r.randint(1, 5)):
+            lines.append(" ".join(r.choice(["ax", "bo", "7"] if r.random() < 0.85 else [prose(r, 1)]) for _ in range(r.choice([1, 2, 3, 4, 5, 7]))))
+        if i % 20 == 0:
+            lines.append(passage)
+        r.shuffle(lines)
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in lt.drop_recurring_lines(df, min_docs=4).collect()}
+    gone = by_hand(texts, 4)
+    assert 30 < len(gone) < sum(t.count("\n") + 1 for t in texts) - 60
+    for d, t in enumerate(texts):
+        assert got[d] == "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)
+
+
+def test_leading_words_may_vary(spark):
+    r = random.Random(6)
+    forms = ["Posted by {} in the daily news of our town", "Posted {} him in the daily news of our town", "{} by him in the daily news of our town", "{} {} {} in the daily news of our town", "By {} for the evening news of our land"]
+    rows = [f"{prose(r, 60)}\n{forms[i % 5].format(*(prose(r, 1) for _ in range(3)))}\n{prose(r, 20)}" for i in range(60)]
+    assert set(dropped(spark, rows).values()) == {1}
+
+
+def test_odd_tables(spark):
+    assert lt.drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    long = "\n".join(f"line {i} of a very long text " + "word " * 50 for i in range(4000)) + "x" * 3_000_000
+    rows = [(1, None, 1, 2), (None, "", 1, 2), (2, long, 1, 2), (2, long, 1, 2), (3, " \n\n", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, drop int, key int")
+    got = sorted(lt.drop_recurring_lines(df).collect(), key=str)
+    assert len(got) == 5 and {(x["drop"], x["key"]) for x in got} == {(1, 2)}
+    assert {(x["doc_id"], x["text"], x["n_lines"], x["n_dropped"]) for x in got} == {(1, None, 0, 0), (None, "", 1, 0), (2, long, 4000, 0), (3, " \n\n", 3, 0)}
+
+
 def test_a_shared_passage_does_not_make_documents_copies(spark):
     r = random.Random(5)
     passage = prose(r, 40)
