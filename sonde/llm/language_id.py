@@ -100,8 +100,13 @@ def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     code = codewords(len(languages))
     if len(languages) < 2:
         return LanguageModel(languages, code, np.zeros(((1 << BITS) + 1, 0)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("t", F.lit(6)), "t")
-    chosen = known.where(F.col("lang").isin(*languages)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_TRAIN // len(languages))
+    most = max(1, MAX_TRAIN // len(languages))
+    # About twice as many as are taken are ranked, so that a common language does not go to one task.
+    rate = F.coalesce(*(F.when(F.col("lang") == r["lang"], min(1.0, (2 * most + 20) / r["n"])) for r in top))
+    draw = F.pmod(F.xxhash64("t", F.lit(6)), F.lit(1 << 30))
+    order = Window.partitionBy("lang").orderBy("draw", "t")
+    ranked = known.withColumn("draw", draw).where(F.col("draw") < rate * (1 << 30))
+    chosen = ranked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     picked = rows.join(F.broadcast(chosen.select("lang", "t")), ["lang", "t"]).groupBy("lang", "t").agg(F.first("text").alias("text"))  # ``MAX_TRAIN`` rows at most
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
