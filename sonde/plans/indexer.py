@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..operators import knn
 from ..operators import maintenance as m
 from ..operators import quality
 from ..operators.bm25 import TextIndex, build_index, update_index
@@ -17,7 +18,9 @@ from ..operators.chunking.dispatch import parse_documents, with_ids
 from ..operators.embed import Embedder
 from ..sources.records import as_documents
 from ..sources.walk import list_files, with_contents
-from .store import Store
+from ..staging import staged
+from .progress import Progress
+from .store import CENTRES, Store
 
 
 @dataclass(frozen=True)
@@ -30,7 +33,8 @@ class Counts:
 
 
 class Indexer:
-    def __init__(self, store: Store, embedder: Embedder | None = None, analyzer: str = "porter", methods: dict[str, str] | None = None, tokenizer: str | None = None):
+    def __init__(self, store: Store, embedder: Embedder | None = None, analyzer: str = "porter", methods: dict[str, str] | None = None, tokenizer: str | None = None, progress: Progress | None = None):
+        self.progress = progress or Progress()
         self.store, self.embedder, self.analyzer, self.methods, self.tokenizer = store, embedder, analyzer, methods, tokenizer
 
     # --- entry points
@@ -95,6 +99,19 @@ class Indexer:
         self.score()
         return tally, counts
 
+    def build_cells(self, cells: int | None = None, limit: int = 20) -> int:
+        """Partition the stored vectors for probed search, with as many probes as a measured recall of 0.95 takes; the probes.
+
+        The partition holds until vectors change; searches then scan them all until it is built again.
+        """
+        vectors, of = self.store.table("vectors"), self.store.vectors_snapshot
+        dealt, centres = knn.build_cells(vectors.select("id", "vector"), cells)
+        dealt = staged(dealt, "cells")
+        probes = knn.enough_probes(dealt, centres, limit)
+        rows = [(i, [float(x) for x in c], probes) for i, c in enumerate(centres)]  # at most 1024
+        self.store.commit({"cells": dealt.select("id", "cell"), "centres": self.store.spark.createDataFrame(rows, CENTRES)}, cells_of=of)
+        return probes
+
     # --- shared
 
     def _file_info(self) -> DataFrame:
@@ -153,10 +170,12 @@ class Indexer:
                 removed=0 if gone is None else gone.count(),
                 errors=parsed.where("error IS NOT NULL").count(),
             )
+            self.progress("documents parsed", counts.indexed)
             self.store.commit(
                 {"files": keep_files.unionByName(new_files.select(*keep_files.columns)), "chunks": all_chunks, "edges": keep_edges.unionByName(edges), "vectors": all_vectors, "postings": index.postings, "lengths": index.lengths, "documents": documents},
                 **({"dim": self.embedder.dim} if self.embedder is not None else {}),
             )
+            self.progress("snapshot written", counts.indexed)
             return Counts(counts.indexed, counts.skipped, counts.removed, counts.errors, self.store.table("vectors").count())
         finally:
             parsed.unpersist()

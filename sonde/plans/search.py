@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +54,23 @@ class Searcher:
         asked = self.embedder.embed(queries.select("query_id", "query"), text="query", prefix="search_query: ", out="vector")
         return self.dense_by_vector(asked, k, options)
 
+    def _cells(self) -> tuple[DataFrame, np.ndarray, int] | None:
+        """The stored partition of the vectors, their centres and the probes; None if there is none of these vectors."""
+        of = self.store.vectors_snapshot
+        if of is None or self.store.meta.get("cells_of") != of:
+            return None
+        centres = self.store.table("centres").orderBy("cell").collect()  # at most 1024 rows
+        return self.store.table("cells"), np.array([r["centre"] for r in centres]), centres[0]["probes"]
+
     def dense_by_vector(self, asked: DataFrame, k: int, options: SearchOptions) -> DataFrame:
         vectors, pool = self.store.table("vectors"), self._pool(options)
         if pool is not None:
             vectors = vectors.join(pool.select("chunk_id"), "chunk_id", "left_semi")
-        near = knn.nearest(vectors, asked, 2 * k)
+        cells = self._cells()
+        if pool is None and cells is not None:
+            near = knn.nearest_in_cells(vectors.join(cells[0], "id"), cells[1], asked, 2 * k, cells[2])
+        else:
+            near = knn.nearest(vectors, asked, 2 * k)
         return fusion.dense_channel(near, self._chunks(), k, options.tier, options.ext_filter)
 
     def sparse(self, queries: DataFrame, k: int, options: SearchOptions) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import DimensionMismatch, StoreError
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<float>": T.ArrayType(T.FloatType()), "array<int>": T.ArrayType(T.IntegerType())}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<float>": T.ArrayType(T.FloatType()), "array<double>": T.ArrayType(T.DoubleType()), "array<int>": T.ArrayType(T.IntegerType())}
 
 
 def _schema(fields: str) -> T.StructType:
@@ -33,7 +33,9 @@ VECTORS = _schema("id long, chunk_id long, tier int, vector array<float>")
 POSTINGS = _schema("term string, chunk_id long, tf long, positions array<int>")
 LENGTHS = _schema("chunk_id long, dl long")
 DOCUMENTS = _schema("file_uri string, name string, mime_type string, size_bytes long, modified_at double, content binary, record_meta string")
-SCHEMAS = {"files": FILES, "chunks": CHUNKS, "edges": EDGES, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "documents": DOCUMENTS}
+CELLS = _schema("id long, cell int")
+CENTRES = _schema("cell int, centre array<double>, probes int")
+SCHEMAS = {"cells": CELLS, "centres": CENTRES, "files": FILES, "chunks": CHUNKS, "edges": EDGES, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "documents": DOCUMENTS}
 POINTER = "CURRENT"
 
 
@@ -95,6 +97,10 @@ class Store:
         self._point({"version": version, "tables": state["tables"] | folders, "meta": state["meta"] | meta})
         return version
 
+    @property
+    def vectors_snapshot(self) -> str | None:
+        return self._state()["tables"].get("vectors")
+
     def check_dimension(self, dim: int) -> None:
         known = self.meta.get("dim")
         if known is not None and known != dim:

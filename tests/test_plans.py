@@ -293,3 +293,26 @@ def test_commands_parse():
 
 def test_reservoir(spark):
     assert maintenance.reservoir(spark.range(100), 10).count() == 10 and maintenance.reservoir(spark.range(5), 10).count() == 5
+
+
+def test_probed_search_over_stored_cells_and_progress(spark, tmp_path):
+    from sonde.operators.embed import HashEmbedder
+    from sonde.plans.progress import Progress
+
+    told = []
+    store = Store(spark, str(tmp_path / "store"))
+    indexer = Indexer(store, HashEmbedder(16), analyzer="plain", progress=Progress(lambda step, n, _: told.append((step, n))))
+    rows = [(f"doc://{i}", f"buoy number {i} of harbour {i % 7} is lit at {i * 3}", "text/plain", 0.0, None) for i in range(60)]
+    records = spark.createDataFrame(rows, "uri string, content string, mime_type string, modified_at double, meta string")
+    indexer.index_records(records)
+    assert told == [("documents parsed", 60), ("snapshot written", 60)]
+    searcher, asked = Searcher(store, HashEmbedder(16)), ask(spark, "buoy number 5 of harbour 5")
+    options = SearchOptions("dense", top_k=5)
+    exact = [(r["chunk_id"], r["final_rank"]) for r in searcher.search(asked, options).collect()]
+    assert searcher._cells() is None
+    probes = indexer.build_cells(4)
+    assert 1 <= probes <= 4 and searcher._cells() is not None
+    found = [(r["chunk_id"], r["final_rank"]) for r in searcher.search(asked, options).collect()]
+    assert len(found) == len(exact) and len({c for c, _ in found} & {c for c, _ in exact}) >= 4
+    indexer.index_records(records.limit(1).withColumn("uri", F.lit("doc://new")))
+    assert searcher._cells() is None  # vectors changed: all are scanned
