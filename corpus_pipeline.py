@@ -37,7 +37,11 @@ def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that score as toxic; learns from the labels of the folds that op4 learns from."""
+    """Without documents that score as toxic; learns from the labels of the folds that op4 learns from.
+
+    Null and empty texts score as no n-gram at all and stay; null ids and repeated rows are judged by their
+    text like others; without labels of both classes all documents get one score; an empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels.where(fold(3) != 1))
     plain, names = _plain(docs)
@@ -45,7 +49,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents in no learnt language; a null lang becomes the prediction."""
+    """Without documents in no learnt language; a null lang becomes the prediction.
+
+    Null texts and texts without a letter are in none, and go; null ids and repeated rows are judged by their text
+    like others; an empty table gives no rows.
+    """
     model = train_languages(docs.where(fold(4) != 2))
     plain, names = _plain(docs)
     named = identify_languages(plain, model, tuple(names.values()), names["text"])
@@ -54,7 +62,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that recur across them; n_chars follows the text."""
+    """All documents, without the lines that recur across them; n_chars follows the text.
+
+    Null and empty texts, null ids and repeated rows stay; a document all of whose lines go has an empty text.
+    """
     plain, names = _plain(docs)
     cleaned = drop_recurring_lines(plain, names["text"])
     n_chars = F.when(F.col("n_dropped") > 0, F.length(names["text"]).cast("long")).otherwise(F.col(names["n_chars"]))
@@ -62,17 +73,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least doc_id."""
-    rejected = materialize(near_duplicates(docs, percent=ALIKE).where("NOT kept").select("doc_id", "text_hash").distinct(), "pipeline-rejected")
-    if rejected.count() <= REJECTED_ROWS:
-        rejected = F.broadcast(rejected)
+    """One row of each group of near duplicates: that of the least doc_id (null ids stand behind all others), of an id's
+    texts that of the least hash, of repeated rows one. Rows without words are all kept; an empty table gives no rows."""
     plain, names = _plain(docs)
-    keyed = plain.withColumns({"doc_id": F.col(names["doc_id"]).cast("long"), "text_hash": F.xxhash64(names["text"])})
-    return _back(keyed.join(rejected, ["doc_id", "text_hash"], "left_anti"), names)
+    text_hash = F.xxhash64(names["text"])
+    behind = text_hash.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = plain.withColumns({"doc_id": F.coalesce(F.col(names["doc_id"]).cast("long"), behind), "text_hash": text_hash})
+    classes = materialize(near_duplicates(keyed.select("doc_id", F.col(names["text"]).alias("text")), percent=ALIKE).where("n_shingles > 0"), "pipeline-classes")
+    first = classes.where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.count("*").alias("n"))
+    again = materialize(first.where("n > 1").select("doc_id", "lo"), "pipeline-again")  # ids whose kept texts repeat, or are several
+    others = classes.where("kept").join(again, "doc_id").where("text_hash <> lo").select("doc_id", "text_hash")
+    rejected = materialize(classes.where("NOT kept").select("doc_id", "text_hash").unionByName(others).distinct(), "pipeline-rejected")
+    left = keyed.join(_few(rejected), ["doc_id", "text_hash"], "left_anti")
+    repeated = again.select("doc_id", F.col("lo").alias("text_hash"))
+    single, twice = (left.join(_few(repeated), ["doc_id", "text_hash"], how) for how in ("left_anti", "left_semi"))
+    return _back(single.unionByName(twice.dropDuplicates(["doc_id", "text_hash"])), names)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= REJECTED_ROWS else keys
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null and empty texts are an end id alone, null ids
+    stay null, repeated rows are packed each, an empty table gives no rows."""
     return pack_documents(docs)
 
 
