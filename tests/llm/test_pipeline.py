@@ -28,10 +28,15 @@ def test_one_of_each_group_stays(spark, sf_dir):
         near[i] = "edit"
         rows.append((i, " ".join(near), "en", "s", 1))
     rows += [(i, " ".join(words(50)), "en", "s", 1) for i in range(20, 30)]
-    rows += [(30, rows[25][1], None, "s", 1), (31, None, "en", "s", None)]
+    rows += [(30, rows[25][1], None, "s", 1), (31, None, "en", "s", None), (31, None, "en", "s", None)]
+    rows += [rows[0], rows[0], rows[22], (0, rows[3][1], "en", "s", 1)]  # repeated rows, and an id with two alike texts
+    lone = " ".join(words(80))
+    rows += [(None, rows[23][1], "en", "s", 1), (None, lone, "en", "s", 1), (None, lone, "en", "s", 1), (None, lone + " end", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {x["doc_id"] for x in cp.minhash_dedup(spark, docs, sf_dir).collect()}
-    assert kept == {0, *range(20, 30), 31}
+    out = cp.minhash_dedup(spark, docs, sf_dir).collect()
+    kept = {x["doc_id"] for x in out}
+    assert kept == {0, *range(20, 30), 31, None}
+    assert sorted(str(x["doc_id"]) for x in out) == sorted(map(str, [0, *range(20, 30), 31, 31, None]))
     cp.REJECTED_ROWS, old = -1, cp.REJECTED_ROWS
     try:
         assert {x["doc_id"] for x in cp.minhash_dedup(spark, docs, sf_dir).collect()} == kept
