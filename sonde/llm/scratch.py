@@ -1,43 +1,14 @@
-"""Shared scratch tables: cut lineage with files that every executor can read.
-
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-setting is absent and all tasks run on this machine (tests, a laptop) is a folder of our own made.
-"""
+"""Scratch tables in the shared folder, and how work is dealt to tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for this application's scratch tables; an error on a cluster that names none."""
-    context = spark.sparkContext
-    base, app = context.getConf().get("spark.checkpoint.dir", None), context.applicationId
-    if not base:
-        if context.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="sonde-scratch-")
-        base = _OWN[app]
-    return f"{base.rstrip('/')}/sonde-{app}"
+from ..staging import staged as materialize
+from ..staging import staging_root as scratch_root
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    What follows starts from the files, so a lost executor costs a re-read and
-    not a recomputation, and non-deterministic columns are fixed.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_name", "longs", "many_tasks", "materialize", "scratch_root", "small_batches"]
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
@@ -48,6 +19,12 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def many_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into as many tasks as the session shuffles to, however few bytes they are:
+    for work that costs more than its bytes show."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, as one text may be megabytes long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

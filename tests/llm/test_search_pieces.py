@@ -38,18 +38,50 @@ def test_few_candidates_and_none(spark):
     assert rf.nearest_neighbours(df.where("vec_id = 0")).collect() == []
 
 
-def test_recall_and_crowded_leaves(spark, monkeypatch):
-    monkeypatch.setattr(rf, "PART", 40)
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(4000, 24))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def found_by(spark, x, every, **more):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in rf.nearest_neighbours(df, search=1000, share=1.0, sample=1500, every=100).collect():
+    for r in rf.nearest_neighbours(df, every=every, **more).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    want = exact(list(enumerate(x)), 100, 20)
-    found = sum(len(got[q] & {j for j, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
-    assert found >= 0.9 and all(len(v) == 20 for v in got.values())
+    want = exact(list(enumerate(x)), every, 20)
+    assert all(len(v) == 20 for v in got.values()) and set(got) == set(want)
+    return sum(len(got[q] & {j for j, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def share_of(x, every):
+    """The share of rows in the leaves of a query, under the default settings."""
+    x = x.astype(np.float32)
+    forest = rf.Forest(x)
+    place = forest.place(x)
+    return np.mean([np.isin(place, leaves).any(1).mean() for leaves, _, _ in forest.search(x[::every], *rf.tune(forest, x, len(x), 20))])
+
+
+def test_default_recall_and_a_falling_share(spark):
+    rng, shares = np.random.default_rng(1), []
+    for n, every in ((1500, 20), (12_000, 200)):  # no clusters at all: the hardest case
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert found_by(spark, x, every) >= 0.9
+        shares.append(share_of(x, every))
+    assert shares[1] < 0.85 * shares[0] and shares[1] < 0.7
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 64))
+    assert found_by(spark, x, 100) >= 0.9 and share_of(x, 100) < 0.2
+
+
+def test_small_samples_crowded_leaves_and_busy_buckets(spark, monkeypatch):
+    for name, value in (("BUCKET", 150), ("ASKING", 7)):
+        monkeypatch.setattr(rf, name, value)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x[1000:2000] = x[0] + 0.05 * rng.normal(size=(1000, 24))
+    assert found_by(spark, x, 50, sample=300, leaf=20) >= 0.9
+
+
+def test_an_id_with_two_vectors_is_found_by_its_best(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (2, [0.5, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rf.nearest_neighbours(df).collect()]
+    assert sorted(got) == [(0, 1, 1, 3.0), (0, 2, 2, 2.0)]
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +158,30 @@ def test_pieces_across_words_are_searched_whole():
     assert all(chunked(v, "a b a b bb a", n) == v.encode("a b a b bb a") for n in (1, 2, 3, 5))
 
 
+def test_blocks_of_matrices_and_maps_give_the_same(vocabulary, sf_dir):
+    import pandas as pd
+
+    text, size = pc.normalise(" ".join(sample_texts(sf_dir)[:6])[:4000]), 100
+    parts = [(c, text[lo : lo + size + vocabulary.longest - 1], min(size, len(text) - lo)) for c, lo in enumerate(range(0, len(text), size))]
+    m = pd.DataFrame([("k", c // 7, c, vocabulary.transfer(p, n).tobytes()) for c, p, n in parts], columns=["key", "b", "c", "m"])
+    whole = pd.concat(pc.combine_blocks(iter([m[:20], m[20:]])))
+    started = pd.concat(pc.scan_blocks(iter([whole])))
+    scores = pd.concat(pc.expand_blocks(iter([m.merge(started, on=["key", "b"])])))
+    assert len(whole) == len(started) == -(-len(parts) // 7) and len(scores) == len(parts)
+    state = np.where(np.arange(vocabulary.longest) == 0, 0.0, pc.LOST)
+    for (_, p, n), mine in zip(parts, scores["scores"]):
+        assert np.allclose(state, np.frombuffer(mine))
+        state = pc.combine(state, vocabulary.transfer(p, n))
+
+
+def test_giants_go_by_blocks(spark, vocabulary, sf_dir, monkeypatch):
+    monkeypatch.setattr(pc, "BLOCK", 3)
+    texts = sample_texts(sf_dir)
+    rows = [(i, " ".join(texts[i : i + 9])[:9000]) for i in range(4)] + [(9, "x" * 5000), (10, " " * 3000)]
+    got = {r["doc_id"]: r["ids"] for r in pc.encode_pieces(spark.createDataFrame(rows, "doc_id long, text string"), chunk=128).collect()}
+    assert got == {i: vocabulary.encode(t) for i, t in rows}
+
+
 def test_tables_round_trip(spark, vocabulary, sf_dir):
     long = " ".join(sample_texts(sf_dir)[:30])
     rows = [(1, long), (2, None), (3, ""), (4, "a\u0000b\nc é😀"), (None, "x y"), (1, long)]
