@@ -161,8 +161,6 @@ class Keys:
     """Whether 64-bit keys are among some: a table of their top bits first, then a search of those left.
     Built where it is first used, so that only the keys are sent."""
 
-    BITS = 20
-
     def __init__(self, keys: np.ndarray):
         self.keys, self.table = keys, None
 
@@ -175,12 +173,13 @@ class Keys:
     def _build(self) -> None:
         if self.table is None:
             self.keys = np.sort(self.keys.view(U64))
-            self.table = np.zeros(1 << self.BITS, bool)
-            self.table[self.keys >> U64(64 - self.BITS)] = True
+            bits = min(26, max(16, len(self.keys).bit_length() + 3))  # so that few other keys pass
+            self.table, self.shift = np.zeros(1 << bits, bool), U64(64 - bits)
+            self.table[self.keys >> self.shift] = True
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         self._build()
-        out = self.table[keys >> U64(64 - self.BITS)]
+        out = self.table[keys >> self.shift]
         at = np.flatnonzero(out)
         if len(at):
             out[at] = self.keys[np.minimum(self.place(keys[at]), len(self.keys) - 1)] == keys[at]
