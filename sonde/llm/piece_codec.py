@@ -7,10 +7,12 @@ max-plus semiring, so a long text is cut into chunks, anywhere:
 1. each chunk yields a transfer matrix between boundary states. State i at a cut is the
    number of characters by which the piece across it reaches beyond; entry (i, j) is the
    best score of the chunk's pieces when it is entered in i and left in j;
-2. matrices combine associatively (``combine``). A scan over a text's matrices gives the scores
-   of all states at every cut;
-3. with these each chunk backtraces by itself, for every state it could be left in; a last scan
-   from the end picks the state that it is left in.
+2. matrices combine associatively (``combine``). Blocks of ``BLOCK`` chunks are combined in parallel,
+   matrix by matrix; a scan over a text's blocks gives the scores of all states at the start of each
+   block, and each block, by itself again, those at every cut;
+3. with these each chunk backtraces by itself, for every state it could be left in: a map from the
+   state it is left in to the one it is entered in. Maps compose associatively too, and the same three
+   steps from the end of the text pick the state that each chunk is left in.
 
 Where no piece spans a word start (checked when a model is loaded; pieces with a space
 inside that always lose to their parts are set aside), a chunk's inner words are independent
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, small_batches
+from .scratch import many_tasks, materialize, small_batches
 
 SPACE, LOST = "▁", float("-inf")
 #: Trainers mark pieces that are never merged by a score below this. Such a single character counts as the rarest
@@ -38,6 +40,8 @@ SPACE, LOST = "▁", float("-inf")
 NEVER = -1e8
 #: Characters in a chunk; longer texts than two chunks are scanned in parallel.
 CHUNK = 16_384
+#: Chunks that are combined in one task before a text's blocks are scanned.
+BLOCK = 32
 MEMO = 200_000
 #: Longest words that are segmented many at a time.
 WORD = 40
@@ -382,8 +386,13 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs``. Null and empty texts have no ids; null ids
-    stay null; repeated rows are encoded each; other columns are ignored."""
+    """(doc_id, ids) for every row of ``docs``.
+
+    The segmentation of the best total score; ties go to the longer last piece. Where a model declares merges of
+    byte pairs, its pieces and scores are read as a unigram model's, and these are not the ids of merging. Null and
+    empty texts have no ids; texts of any length are whole, long ones in chunks; null ids stay null; repeated rows
+    are encoded each; other columns are ignored; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     path = model or default_model()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -402,6 +411,99 @@ def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return encoded.unionByName(giants.withColumn("key", F.sha2("text", 256)).select("doc_id", "key").join(done, "key").select("doc_id", "ids"))
 
 
+def _rows(frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[list[tuple]]:
+    for pdf in frames:
+        yield list(zip(*(pdf[c] for c in columns), strict=True))
+
+
+def combine_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The matrix of each block: the product of its chunks' (key, b, c, m), which come in order."""
+    last, whole = None, None
+    for rows in _rows(frames, "key", "b", "m"):
+        out = []
+        for key, b, m in rows:
+            matrix = np.frombuffer(m).reshape(-1, int((len(m) // 8) ** 0.5))
+            if (key, b) == last:
+                whole = combine(whole, matrix)
+                continue
+            if last:
+                out.append((*last, whole.tobytes()))
+            last, whole = (key, b), matrix
+        yield pd.DataFrame(out, columns=["key", "b", "m"])
+    if last:
+        yield pd.DataFrame([(*last, whole.tobytes())], columns=["key", "b", "m"])
+
+
+def scan_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The scores of all states at the start of each block (key, b, m) of a text; blocks come in order."""
+    last, state = None, None
+    for rows in _rows(frames, "key", "b", "m"):
+        out = []
+        for key, b, m in rows:
+            matrix = np.frombuffer(m).reshape(-1, int((len(m) // 8) ** 0.5))
+            if key != last:
+                last, state = key, np.where(np.arange(len(matrix)) == 0, 0.0, LOST)
+            out.append((key, b, state.tobytes()))
+            state = combine(state, matrix)
+        yield pd.DataFrame(out, columns=["key", "b", "scores"])
+
+
+def expand_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The scores at the start of each chunk (key, b, c, m), given those of its block; chunks come in order."""
+    last, state = None, None
+    for rows in _rows(frames, "key", "b", "c", "m", "scores"):
+        out = []
+        for key, b, c, m, scores in rows:
+            if (key, b) != last:
+                last, state = (key, b), np.frombuffer(scores)
+            out.append((key, c, state.tobytes()))
+            state = combine(state, np.frombuffer(m).reshape(len(state), -1))
+        yield pd.DataFrame(out, columns=["key", "c", "scores"])
+
+
+def compose_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The map of each block, from the state it is left in to the one it is entered in; chunks (key, b, back) come last first."""
+    last, whole = None, None
+    for rows in _rows(frames, "key", "b", "back"):
+        out = []
+        for key, b, back in rows:
+            back = np.asarray(back, np.int64)
+            if (key, b) == last:
+                whole = np.where(whole < 0, -1, back[whole])
+                continue
+            if last:
+                out.append((*last, whole.tolist()))
+            last, whole = (key, b), back
+        yield pd.DataFrame(out, columns=["key", "b", "back"])
+    if last:
+        yield pd.DataFrame([(*last, whole.tolist())], columns=["key", "b", "back"])
+
+
+def leave_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state that each block (key, b, back) is left in; a text's blocks come last first, and it is left in state 0."""
+    last, leave = None, 0
+    for rows in _rows(frames, "key", "b", "back"):
+        out = []
+        for key, b, back in rows:
+            leave = 0 if key != last else leave
+            out.append((key, b, leave))
+            last, leave = key, int(back[leave])
+        yield pd.DataFrame(out, columns=["key", "b", "leave"])
+
+
+def choose_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ids of each chunk (key, b, c, trunk, ends), given the state that its block is left in; chunks come last first."""
+    last, state = None, 0
+    for rows in _rows(frames, "key", "b", "c", "trunk", "ends", "leave"):
+        out = []
+        for key, b, c, trunk, ends, leave in rows:
+            state = leave if (key, b) != last else state
+            end = next(e for e in ends if e["j"] == state)
+            out.append((key, c, np.concatenate([np.asarray(trunk, np.int32), np.asarray(end["ids"], np.int32)])))
+            last, state = (key, b), end["entry"]
+        yield pd.DataFrame(out, columns=["key", "c", "ids"])
+
+
 def _encode_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         more = load_vocabulary(path).longest - 1
@@ -409,55 +511,52 @@ def _encode_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 plain = normalise(text)
                 for c, lo in enumerate(range(0, len(plain), chunk)):
-                    yield pd.DataFrame({"key": [key], "c": [c], "size": [min(chunk, len(plain) - lo)], "part": [plain[lo : lo + chunk + more]]})
+                    yield pd.DataFrame({"key": [key], "b": [c // BLOCK], "c": [c], "size": [min(chunk, len(plain) - lo)], "part": [plain[lo : lo + chunk + more]]})
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = load_vocabulary(path)
         for pdf in batches:
-            yield pdf[["key", "c"]].assign(m=[v.transfer(p, n).tobytes() for p, n in zip(pdf["part"], pdf["size"], strict=True)])
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The scores of all states at the start of each chunk; a text's chunks come in order."""
-        n, state = load_vocabulary(path).longest, None
-        for pdf in batches:
-            out = []
-            for c, m in zip(pdf["c"], pdf["m"], strict=True):
-                if c == 0:
-                    state = np.where(np.arange(n) == 0, 0.0, LOST)
-                out.append(state.tobytes())
-                state = combine(state, np.frombuffer(m).reshape(n, n))
-            yield pdf[["key", "c"]].assign(scores=out)
+            yield pdf[["key", "b", "c"]].assign(m=[v.transfer(p, n).tobytes() for p, n in zip(pdf["part"], pdf["size"], strict=True)])
 
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = load_vocabulary(path)
         for pdf in batches:
-            got = [v.backtrace(p, n, np.frombuffer(s)) for p, n, s in zip(pdf["part"], pdf["size"], pdf["scores"], strict=True)]
-            yield pdf[["key", "c"]].assign(trunk=[t for t, _ in got], ends=[[{"j": j, "entry": i, "ids": x} for j, i, x in e] for _, e in got])
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """From a text's last chunk, left in state 0, to its first."""
-        last, leave = None, 0
-        for pdf in batches:
-            out = []
-            for key, trunk, ends in zip(pdf["key"], pdf["trunk"], pdf["ends"], strict=True):
-                leave = 0 if key != last else leave
-                end = next(e for e in ends if e["j"] == leave)
-                out.append([*trunk, *end["ids"]])
-                last, leave = key, end["entry"]
-            yield pdf[["key", "c"]].assign(ids=out)
-
-    chunks = texts.withColumn("key", F.sha2("text", 256)).mapInPandas(cut, "key string, c int, size int, part string")
-    chunks = materialize(chunks.repartition("key", "c"), "piece-chunks")
-    m = chunks.mapInPandas(matrices, "key string, c int, m binary")
-    scores = m.repartition("key").sortWithinPartitions("key", "c").mapInPandas(scan, "key string, c int, scores binary")
-    traced = chunks.join(scores, ["key", "c"]).mapInPandas(traces, "key string, c int, trunk array<int>, ends array<struct<j:int,entry:int,ids:array<int>>>")
-    chosen = traced.repartition("key").sortWithinPartitions("key", F.desc("c")).mapInPandas(choose, "key string, c int, ids array<int>")
+            for at in range(0, len(pdf), 16):  # ids of few chunks at a time
+                some = pdf.iloc[at : at + 16]
+                got = [v.backtrace(p, n, np.frombuffer(s)) for p, n, s in zip(some["part"], some["size"], some["scores"], strict=True)]
+                back = [[-1] * v.longest for _ in got]
+                for row, (_, ends) in zip(back, got, strict=True):
+                    for j, entry, _ in ends:
+                        row[j] = entry
+                ends = [[{"j": j, "entry": i, "ids": np.array(x, np.int32)} for j, i, x in e] for _, e in got]
+                yield some[["key", "b", "c"]].assign(trunk=[np.array(t, np.int32) for t, _ in got], ends=ends, back=back)
+
+    def blocks(df: DataFrame, *order) -> DataFrame:
+        # By a hash of the two: a partitioning equal to that of a join before it would be taken for redundant and
+        # left out, and when the join then becomes a broadcast, the rows of a block are in several tasks.
+        return df.repartition(F.xxhash64("key", "b")).sortWithinPartitions("key", "b", *order)
+
+    chunks = texts.withColumn("key", F.sha2("text", 256)).mapInPandas(cut, "key string, b int, c int, size int, part string")
+    chunks = materialize(many_tasks(chunks, "key", "c"), "piece-chunks")
+    m = materialize(chunks.mapInPandas(matrices, "key string, b int, c int, m binary"), "piece-matrices")
+    whole = blocks(m, "c").mapInPandas(combine_blocks, "key string, b int, m binary")
+    started = whole.repartition("key").sortWithinPartitions("key", "b").mapInPandas(scan_blocks, "key string, b int, scores binary")
+    scores = blocks(m.join(started, ["key", "b"]), "c").mapInPandas(expand_blocks, "key string, c int, scores binary")
+    traced = chunks.join(scores, ["key", "c"]).mapInPandas(traces, "key string, b int, c int, trunk array<int>, ends array<struct<j:int,entry:int,ids:array<int>>>, back array<int>")
+    traced = materialize(traced, "piece-traces")
+    maps = blocks(traced.select("key", "b", "c", "back"), F.desc("c")).mapInPandas(compose_blocks, "key string, b int, back array<int>")
+    left = maps.repartition("key").sortWithinPartitions("key", F.desc("b")).mapInPandas(leave_blocks, "key string, b int, leave int")
+    chosen = blocks(traced.drop("back").join(left, ["key", "b"]), F.desc("c")).mapInPandas(choose_ids, "key string, c int, ids array<int>")
     return chosen.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x")).select("key", F.flatten(F.col("x.ids")).alias("ids"))
 
 
 def decode_pieces(rows: DataFrame, ids: str = "ids", text: str = "text", model: str | None = None) -> DataFrame:
     """``rows`` with the text of ``ids`` in ``text`` in their place, and n_ids and ids_crc32 (of the ids as
-    little-endian unsigned 32-bit numbers). Null ids give a null text and 0s, empty ones the empty text."""
+    little-endian unsigned 32-bit numbers); columns of these names are replaced, others kept.
+
+    Null ids give a null text and 0s, empty ones the empty text, ids that name no piece nothing; rows may
+    repeat and have any length; an empty table gives no rows.
+    """
     small_batches(rows.sparkSession)
     path, keep = model or default_model(), [c for c in rows.columns if c not in (ids, text, "n_ids", "ids_crc32")]
 
