@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import fixed, text, vectors
 from .functions.register import register_all
 from .operators import bm25, fusion, knn, maintenance, metadata, quality
-from .operators.chunking import chunk_documents, plain_chunks
+from .operators.chunking import plain_chunks
 from .operators.embed import HashEmbedder
 from .sources import records, tables
 from .staging import staged
