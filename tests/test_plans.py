@@ -316,3 +316,20 @@ def test_probed_search_over_stored_cells_and_progress(spark, tmp_path):
     assert len(found) == len(exact) and len({c for c, _ in found} & {c for c, _ in exact}) >= 4
     indexer.index_records(records.limit(1).withColumn("uri", F.lit("doc://new")))
     assert searcher._cells() is None  # vectors changed: all are scanned
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sonde.staging import staging_root
+
+    def session(master, **conf):
+        context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k, d: conf.get(k.replace(".", "_"), d)), applicationId="app-1", master=master)
+        return SimpleNamespace(sparkContext=context)
+
+    assert staging_root(session("yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y/sonde-app-1"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError):
+            staging_root(session(master))
+    own = staging_root(session("local[4]"))
+    assert own == staging_root(session("local[*]")) and own.endswith("/sonde-app-1")
