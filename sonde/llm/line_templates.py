@@ -535,19 +535,17 @@ def _without(raw: np.ndarray, offs: np.ndarray, which: np.ndarray, number: np.nd
     own = before[which] + number
     lo = np.where(number > 0, edge[own - 1], offs[which])  # with the newline before, if there is one
     hi = np.where(number < had[which] - 1, edge[own], offs[which + 1])
-    gone = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(gone, lo, 1)
-    np.add.at(gone, hi, -1)
     # Where first lines go, so does the newline before the first one left.
     nth = np.arange(len(which)) - np.searchsorted(which, which)
     leading = np.bincount(which[nth == number], minlength=len(had))
     some = np.flatnonzero((leading > 0) & (leading < had))
     newline = edge[before[some] + leading[some] - 1]
-    np.add.at(gone, newline, 1)
-    np.add.at(gone, newline + 1, -1)
-    keep = np.cumsum(gone[:-1]) == 0
-    ends = np.concatenate([[0], np.cumsum(keep)])
-    return raw[keep], ends[offs], had
+    lo, hi = np.concatenate([lo, newline]), np.concatenate([hi, newline + 1])
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], hi[order]  # apart from each other, each within a text
+    left = [raw[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True) if a < b]
+    lost = np.concatenate([[0], np.cumsum(hi - lo)])
+    return np.concatenate([raw[:0], *left]), offs - lost[np.searchsorted(hi, offs, "right")], had
 
 
 def _scan_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
