@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import U64, mix, runs, shingle_sets, utf8
-from .scratch import materialize, small_batches
+from .scratch import many_tasks, materialize, small_batches
 
 HASHES, MISS = 90, 1e-6
 BLOCK_ROWS = 256
@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .distinct()
     )
     stars = materialize(stars, "mm-stars")
-    sizes = stars.groupBy("p", "prk").agg(F.count("*").alias("k"), F.sum("n").alias("all_n"))
+    # Written first, so that the join reads two plain tables and a hot pivot can be split.
+    sizes = materialize(stars.groupBy("p", "prk").agg(F.count("*").alias("k"), F.sum("n").alias("all_n")), "mm-sizes")
     dealt = stars.join(sizes, ["p", "prk"]).withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("m", "rk"), F.col("blocks")).cast("int"))
     dealt = materialize(dealt.select("p", "prk", "m", "rk", "block", "blocks"), "mm-dealt")
@@ -239,7 +240,7 @@ def _first_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
             links = [*links, *((x, None) for x in sorted(lone))]
         return pd.DataFrame({"p": int(key[0]), "prk": int(key[1]), "a": pd.array([x for x, _ in links], "Int64"), "b": pd.array([y for _, y in links], "Int64")})
 
-    return rows.groupBy("p", "prk", "block").applyInPandas(block, "p long, prk long, a long, b long")
+    return many_tasks(rows, "p", "prk", "block").groupBy("p", "prk", "block").applyInPandas(block, "p long, prk long, a long, b long")
 
 
 def _second_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -248,4 +249,4 @@ def _second_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
         links = _links(None, left, right, width, percent)[0] if len(left) and len(right) else []
         return pd.DataFrame({"a": pd.array([x for x, _ in links], "Int64"), "b": pd.array([y for _, y in links], "Int64")})
 
-    return rows.groupBy("p", "prk", "i", "j").applyInPandas(pair, "a long, b long")
+    return many_tasks(rows, "p", "prk", "i", "j").groupBy("p", "prk", "i", "j").applyInPandas(pair, "a long, b long")
