@@ -42,7 +42,7 @@ NEVER = -1e8
 CHUNK = 16_384
 #: Chunks that are combined in one task before a text's blocks are scanned.
 BLOCK = 32
-MEMO = 200_000
+MEMO = 50_000
 #: Longest words that are segmented many at a time.
 WORD = 40
 
@@ -393,7 +393,7 @@ def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     empty texts have no ids; texts of any length are whole, long ones in chunks; null ids stay null; repeated rows
     are encoded each; other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)
     path = model or default_model()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     long = F.length("text") > 2 * chunk
@@ -557,7 +557,7 @@ def decode_pieces(rows: DataFrame, ids: str = "ids", text: str = "text", model:
     Null ids give a null text and 0s, empty ones the empty text, ids that name no piece nothing; rows may
     repeat and have any length; an empty table gives no rows.
     """
-    small_batches(rows.sparkSession)
+    small_batches(rows.sparkSession, 256)
     path, keep = model or default_model(), [c for c in rows.columns if c not in (ids, text, "n_ids", "ids_crc32")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
