@@ -11,10 +11,11 @@ recall: some points of the sample ask for their true neighbours in it, and ``REC
 the share of rows looked at follows from the data. Without any structure the search takes all leaves, and is exact.
 
 Leaves are dealt into buckets of about ``BUCKET`` rows, crowded leaves over several. A query goes once
-to each bucket with the list of its leaves there: first to the bucket where its neighbours most likely are,
-which gives a bound, then to the others, which return only rows above it. The best are merged, and
-what is returned is scored again, exactly, on the original vectors in double precision. Buckets that
-many queries visit are read by several tasks.
+to each bucket with the list of its leaves there, in rounds: first to the bucket where its neighbours most likely
+are, then to the next 3, 12, 48 and so on. The best of all rounds before are merged and give a bound, and a bucket
+returns only rows not below it. So the rows that a query gets back grow about with the logarithm of its buckets, not
+with their number (rows that tie with the bound all come back). What is returned is scored again, exactly, on the original vectors in double precision. Buckets that
+many queries visit in a round are read by several tasks.
 
 Equal vectors are one row of the index with the smallest ids that could be asked for, so a
 vector repeated a million times is searched once, ties and all. Nothing is dropped, at any size.
@@ -163,6 +164,13 @@ def _buckets(rows_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+def _rounds(chances: np.ndarray) -> np.ndarray:
+    """The round in which each bucket is visited, by the chances of a neighbour there: 1, 3, 12, 48 ... buckets, likeliest first."""
+    nth = np.empty(len(chances), np.int64)
+    nth[np.argsort(-chances, kind="stable")] = np.arange(len(chances))
+    return np.ceil(np.log2(1 + nth) / 2).astype(np.int64)
+
+
 def nearest_neighbours(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is a multiple of ``every``.
 
@@ -221,36 +229,41 @@ def nearest_neighbours(vectors: DataFrame, vec_id: str = "vec_id", vector: str =
                 order = np.argsort(bucket, kind="stable")
                 bucket, leaves = bucket[order], leaves[order]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                likely = int(np.argmax(np.add.reduceat(chances[order], cuts)))
-                out += [(vid, int(bucket[c]), own.tolist(), row.tobytes(), i == likely) for i, (c, own) in enumerate(zip(cuts, np.split(leaves, cuts[1:]), strict=True))]
-            yield pd.DataFrame(out, columns=["qv", "bucket", "leaves", "b", "home"])
+                nth = _rounds(np.add.reduceat(chances[order], cuts))
+                out += [(vid, int(bucket[c]), own.tolist(), row.tobytes(), int(r)) for c, own, r in zip(cuts, np.split(leaves, cuts[1:]), nth, strict=True)]
+            yield pd.DataFrame(out, columns=["qv", "bucket", "leaves", "b", "round"])
 
     asks = flat.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v", F.xxhash64("v").alias("h"))
     keyed = index.withColumn("h", F.xxhash64("v"))
     own = materialize(asks.join(keyed.select("h", F.col("v").alias("xv"), "vid"), "h").where(F.col("v") == F.col("xv")).select("query_id", F.col("vid").alias("qv")), "ann-own")
     asked = materialize(index.select("vid", "v").join(own.select(F.col("qv").alias("vid")).distinct(), "vid"), "ann-asked")
-    visits = many_tasks(asked, "vid").mapInPandas(look, "qv long, bucket long, leaves array<long>, b binary, home boolean")
+    visits = many_tasks(asked, "vid").mapInPandas(look, "qv long, bucket long, leaves array<long>, b binary, round long")
     visits = materialize(visits, "ann-visits")
-    visited, asking = longs(visits.groupBy("bucket").agg(F.count("*").alias("n")))  # a row a bucket
-    turns = np.ones(int(max(first.max(initial=0) + parts.max(initial=1), visited.max(initial=0))) + 1, np.int64)
-    turns[visited] = -(-asking // ASKING)
+    which, visited, asking = longs(visits.groupBy("round", "bucket").agg(F.count("*").alias("n")))  # a row a bucket and round
+    turns = np.zeros((int(which.max(initial=0)) + 1, int(max(first.max(initial=0) + parts.max(initial=1), visited.max(initial=0))) + 1), np.int64)
+    turns[which, visited] = -(-asking // ASKING)  # none for buckets that no query visits in a round
 
     def mixed(ids: pd.Series) -> np.ndarray:
         return (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = pdf["leaf"].to_numpy()
-            bucket = first[at] + (mixed(pdf["vid"]) % parts[at].astype(np.uint64)).astype(np.int64)
-            times = turns[bucket]
-            out = pdf.assign(bucket=bucket).loc[pdf.index.repeat(times)]
-            yield out.assign(turn=np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times))
+    def deal(turns: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                at = pdf["leaf"].to_numpy()
+                bucket = first[at] + (mixed(pdf["vid"]) % parts[at].astype(np.uint64)).astype(np.int64)
+                times = turns[bucket]
+                out = pdf.assign(bucket=bucket).loc[pdf.index.repeat(times)]
+                yield out.assign(turn=np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times))
 
-    def take_turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(turn=(mixed(pdf["qv"]) % turns[pdf["bucket"].to_numpy()].astype(np.uint64)).astype(np.int64))
+        return run
+
+    def take_turns(turns: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(turn=(mixed(pdf["qv"]) % turns[pdf["bucket"].to_numpy()].astype(np.uint64)).astype(np.int64))
+
+        return run
 
-    held = placed.mapInPandas(deal, "vid long, leaf long, b binary, bucket long, turn long")
     most = 2 * k + 2  # more than k+1, as these products are rounded
 
     def best(key: tuple, queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -288,17 +301,23 @@ def nearest_neighbours(vectors: DataFrame, vec_id: str = "vec_id", vector: str =
         some = rank < most
         return pd.DataFrame({"qv": queries["qv"].to_numpy()[who[some]], "vid": which[some], "near": near[some].astype(float)})
 
-    def ask(some: DataFrame) -> DataFrame:
-        asking = some.select("qv", "bucket", "leaves", "b", "bound").mapInPandas(take_turns, "qv long, bucket long, leaves array<long>, b binary, bound double, turn long")
+    def ask(some: DataFrame, turns: np.ndarray) -> DataFrame:
+        asking = some.select("qv", "bucket", "leaves", "b", "bound").mapInPandas(take_turns(turns), "qv long, bucket long, leaves array<long>, b binary, bound double, turn long")
+        held = placed.mapInPandas(deal(turns), "vid long, leaf long, b binary, bucket long, turn long")
         return asking.groupBy("bucket", "turn").cogroup(held.groupBy("bucket", "turn")).applyInPandas(best, "qv long, vid long, near double")
 
-    near_home = materialize(ask(visits.where("home").withColumn("bound", F.lit(float("-inf")))), "ann-home")
-    bounds = near_home.groupBy("qv").agg(F.count("*").alias("n"), F.min("near").alias("bound")).where(F.col("n") == most).select("qv", "bound")
-    others = visits.where("NOT home").join(bounds, "qv", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    merged = near_home.unionByName(ask(others))
-    merged = merged.groupBy("qv", "vid").agg(F.max("near").alias("near"))
-    order = Window.partitionBy("qv").orderBy(F.desc("near"), "vid")
-    top = merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("qv", "vid")
+    top, order = None, Window.partitionBy("qv").orderBy(F.desc("near"), "vid")
+    for i, own_turns in enumerate(turns):  # as many rounds as the logarithm of the buckets
+        some, found = visits.where(F.col("round") == i).withColumn("bound", F.lit(float("-inf"))), None
+        if top is not None:
+            top = materialize(top, f"ann-top-{i}")
+            bounds = top.where(F.col("n") == most).select("qv", F.col("near").alias("least"))
+            some = some.join(bounds, "qv", "left").withColumn("bound", F.coalesce("least", "bound"))
+            found = top.select("qv", "vid", "near")
+        more = ask(some, own_turns)
+        merged = (more if found is None else found.unionByName(more)).groupBy("qv", "vid").agg(F.max("near").alias("near"))
+        top = merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    top = top.select("qv", "vid")
     # Exact scores on the originals, then all ids of equal vectors, the query's own aside.
     scored = top.join(index.select("vid", F.col("v").alias("xv"), "ids"), "vid").join(asked.select(F.col("vid").alias("qv"), "v"), "qv")
     dot = F.aggregate(F.zip_with("v", "xv", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)

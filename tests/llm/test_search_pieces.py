@@ -78,6 +78,39 @@ def test_small_samples_crowded_leaves_and_busy_buckets(spark, monkeypatch):
     assert found_by(spark, x, 50, sample=300, leaf=20) >= 0.9
 
 
+def rows_made(spark, operator, run):
+    """How many rows the plan nodes of a name made during a run, and what it returned."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before, out, made = store.executionsCount(), run(), 0
+    bus.waitUntilEmpty()
+    executions = store.executionsList(before, 1000)
+    for i in range(executions.size()):
+        e = executions.apply(i)
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(j) for j in range(metrics.size())):
+                if node.name().strip() == operator and metric.name() == "number of output rows":
+                    value = values.get(metric.accumulatorId())
+                    made += int(value.get().replace(",", "")) if value.isDefined() else 0
+    return made, out
+
+
+def test_rows_from_the_buckets_do_not_grow_with_queries_times_buckets(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made, answers = [], []
+    for n, bucket in ((1200, 1 << 20), (1200, 500), (6000, 500)):  # 1, 20 and 103 buckets; without clusters most are visited
+        monkeypatch.setattr(rf, "BUCKET", bucket)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id long, embedding array<double>")
+        rows, found = rows_made(spark, "FlatMapCoGroupsInPandas", lambda: sorted(map(tuple, rf.nearest_neighbours(df, every=60).collect())))  # noqa: B023
+        made.append(rows), answers.append(found)
+    assert answers[0] == answers[1]  # rounds lose nothing that one bucket with all leaves has
+    assert made[0] == 42 * 20
+    assert 5 * made[1] <= made[2] < 9 * made[1], made  # five times the queries, which each visit five times the buckets
+
+
 def test_an_id_with_two_vectors_is_found_by_its_best(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (2, [0.5, 0.0]), (3, None)], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rf.nearest_neighbours(df).collect()]
