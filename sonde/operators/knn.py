@@ -31,10 +31,11 @@ def _nearest_rows(x: np.ndarray, names: np.ndarray, q: np.ndarray, limit: int) -
     else:
         who, row = np.divmod(np.arange(near.size), len(x))
     d = np.concatenate([np.zeros(0), *(np.round(np.sqrt(((x[row[i : i + 8192]] - q[who[i : i + 8192]]) ** 2).sum(1)), 9) for i in range(0, len(who), 8192))])
-    return _least(who, names[row], d, limit)
+    return least(who, names[row], d, limit)
 
 
-def _least(who: np.ndarray, ids: np.ndarray, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def least(who: np.ndarray, ids: np.ndarray, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows with the ``limit`` least d of each of who, in order of who, d and id."""
     order = np.lexsort((ids, d, who))
     who, ids, d = who[order], ids[order], d[order]
     first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, int)
@@ -61,7 +62,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
             for pdf in batches:
                 if len(pdf) and len(q):
                     new = _nearest_rows(_matrix(pdf["vector"]), pdf["id"].to_numpy(), q, limit)
-                    held = _least(*(np.concatenate([a, b]) for a, b in zip(held, new, strict=True)), limit)
+                    held = least(*(np.concatenate([a, b]) for a, b in zip(held, new, strict=True)), limit)
             yield pd.DataFrame({"query_id": ids[held[0]], "id": held[1], "distance": held[2]})
 
         return vectors.select("id", "vector").mapInPandas(top, "query_id long, id long, distance double")
