@@ -19,7 +19,7 @@ def shuffled_rows(spark, run):
     return sum(n for stage, n in after.items() if stage not in before), out
 
 
-SPARSE = ["sparse_search_topk", "sparse_search_tier", "hybrid_search", "rrf_fuse", "unique_paths", "sparse_truncate_then_cap", "sparse_search_porter"]
+SPARSE = ["sparse_search_topk", "sparse_search_tier", "hybrid_search", "rrf_fuse", "unique_paths", "sparse_truncate_then_cap", "sparse_search_porter", "sparse_phrase"]
 
 
 @pytest.mark.parametrize("name", SPARSE)
