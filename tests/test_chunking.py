@@ -173,3 +173,11 @@ def test_native_chunks_equal_the_parsers(spark, sf_dir):
     native = plain_chunks(docs).select(*columns).withColumn("tier", F.col("tier").cast("int"))
     parsed = chunk_documents(docs).select(*columns)
     assert native.exceptAll(parsed).collect() == [] and parsed.exceptAll(native).collect() == []
+
+
+def test_documents_of_one_uri_keep_their_own_chunks(spark):
+    rows = [("u", "a.txt", "text/plain", "one\n\ntwo"), ("u", "b.csv", "text/csv", "h\n1\n"), ("v", "c.xlsx", "application/vnd.ms-excel", "broken"), ("w", "d.txt", "text/plain", None)]
+    docs = spark.createDataFrame(rows, "file_uri string, name string, mime_type string, content string")
+    got = sorted((r["name"], r["tier"], r["chunk_index"], r["content"], r["chunker_method"]) for r in chunk_documents(docs, keep=("name",)).where("tier = 1").collect())
+    assert got == [("a.txt", 1, 0, "one", "plaintext/v1"), ("a.txt", 1, 1, "two", "plaintext/v1"), ("b.csv", 1, 0, "h: 1", "csv/v1")]
+    assert chunk_documents(docs).where("file_uri = 'u' AND tier = 3").count() == 2
