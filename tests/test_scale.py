@@ -44,3 +44,11 @@ def test_texts_and_postings_score_alike_in_any_blocks(spark, monkeypatch):
                 m.setattr(bm25, k, v)
             assert rows(bm25.score_texts(chunks, asked, analyzer)) == want
             assert [x[:3] for x in rows(bm25.search_texts(chunks, asked, 4, analyzer))] == best
+
+
+@pytest.mark.parametrize("name", ["script_chunks", "rust_chunks"])
+def test_sources_made_of_a_small_file_are_parsed_by_all_cores(spark, sf_dir, name):
+    df = engine.CATALOGUE[name][0](spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    rows, found = shuffled_rows(spark, df.collect)
+    assert len(found) == 5 * rows  # only the parts travel, not their chunks
