@@ -6,35 +6,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that one pass over the vectors takes to every task; more are done in several passes.
 BLOCK = 2048
+#: Numbers of a matrix of queries and vectors that a task holds, pairs whose differences it takes, and rows that it sends at once.
+CELLS, PAIRS, SENT = 1_000_000, 8192, 50_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
-def _nearest_rows(x: np.ndarray, names: np.ndarray, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, distance) of the ``limit`` nearest rows of x to each row of q; ties by id.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+NONE: Found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
-    One matrix product finds who can be among them; their distances are then taken from the differences, so that equal vectors tie.
+
+def _nearest_rows(x: np.ndarray, names: np.ndarray, q: np.ndarray, limit: int, held: Found = NONE) -> Found:
+    """(query number, id, distance) of the ``limit`` nearest to each row of q among the rows of x and ``held``; ties by id.
+
+    In blocks of rows, so that no matrix has more than ``CELLS`` numbers or a row's. A matrix product finds
+    who can be among them; their distances are then taken from the differences, so that equal vectors tie.
     """
-    squares = (x * x).sum(1)
-    near = squares[None] + (q * q).sum(1)[:, None] - 2 * (q @ x.T)
-    if limit < len(x):
-        edge = np.partition(near, limit - 1, 1)[:, limit - 1 : limit]
-        slack = 1e-9 * (1 + squares.max() + (q * q).sum(1)[:, None])
-        who, row = np.nonzero(near <= edge + slack)
-    else:
-        who, row = np.divmod(np.arange(near.size), len(x))
-    d = np.concatenate([np.zeros(0), *(np.round(np.sqrt(((x[row[i : i + 8192]] - q[who[i : i + 8192]]) ** 2).sum(1)), 9) for i in range(0, len(who), 8192))])
-    return least(who, names[row], d, limit)
-
-
-def least(who: np.ndarray, ids: np.ndarray, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = (q * q).sum(1)[:, None]
+    block = max(1, CELLS // max(1, len(q)))
+    for at in range(0, len(x), block):
+        rows = x[at : at + block]
+        squares = (rows * rows).sum(1)
+        near = squares[None] + own - 2 * (q @ rows.T)
+        edge = _bounds(held, len(q), limit)
+        if limit < len(rows) and np.isinf(edge).any():
+            edge = np.minimum(edge, np.partition(near, limit - 1, 1)[:, limit - 1 : limit])
+        who, row = np.nonzero(near <= edge + 1e-9 * (1 + squares.max() + own))
+        parts = [slice(i, i + PAIRS) for i in range(0, len(who), PAIRS)]
+        d = np.concatenate([np.zeros(0), *(np.round(np.sqrt(((rows[row[p]] - q[who[p]]) ** 2).sum(1)), 9) for p in parts)])
+        held = least(*(np.concatenate([a, b]) for a, b in zip(held, (who, names[at : at + block][row], d), strict=True)), limit)
+    return held
+
+
+def _bounds(held: Found, queries: int, limit: int) -> np.ndarray:
+    """The square of the distance that a row must not exceed to be among the nearest, a column."""
+    out = np.full(queries, np.inf)
+    last = np.flatnonzero(np.append(held[0][1:] != held[0][:-1], True)) if len(held[0]) else held[0]
+    full = np.bincount(held[0], minlength=queries)[held[0][last]] == limit
+    out[held[0][last[full]]] = (held[2][last[full]] + 1e-9) ** 2
+    return out[:, None]
+
+
+def least(who: np.ndarray, ids: np.ndarray, d: np.ndarray, limit: int) -> Found:
     """The rows with the ``limit`` least d of each of who, in order of who, d and id."""
     order = np.lexsort((ids, d, who))
     who, ids, d = who[order], ids[order], d[order]
@@ -57,15 +78,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
         ids = np.array([r["query_id"] for r in rows], np.int64)
         q = np.array([list(r["vector"]) for r in rows], np.float64).reshape(len(rows), -1)
 
-        def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for pdf in batches:
-                if len(pdf) and len(q):
-                    new = _nearest_rows(_matrix(pdf["vector"]), pdf["id"].to_numpy(), q, limit)
-                    held = least(*(np.concatenate([a, b]) for a, b in zip(held, new, strict=True)), limit)
-            yield pd.DataFrame({"query_id": ids[held[0]], "id": held[1], "distance": held[2]})
-
-        return vectors.select("id", "vector").mapInPandas(top, "query_id long, id long, distance double")
+        def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = NONE
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    held = _nearest_rows(x.reshape(batch.num_rows, -1), batch.column("id").to_numpy(), q, limit, held)
+            for at in range(0, len(held[0]), SENT):
+                who, found, d = (a[at : at + SENT] for a in held)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(found), pa.array(d)], names=["query_id", "id", "distance"])
+
+        rows = vectors.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector")
+        return rows.mapInArrow(top, "query_id long, id long, distance double")
 
     for row in asked:
         block.append(row)

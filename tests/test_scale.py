@@ -1,9 +1,12 @@
 """What queries send through shuffles and hold in memory must not grow faster than their input."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 
 from sonde import queries as engine
-from sonde.operators import bm25
+from sonde.operators import bm25, knn
 
 
 def shuffled_rows(spark, run):
@@ -52,3 +55,16 @@ def test_sources_made_of_a_small_file_are_parsed_by_all_cores(spark, sf_dir, nam
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
     rows, found = shuffled_rows(spark, df.collect)
     assert len(found) == 5 * rows  # only the parts travel, not their chunks
+
+
+def test_nearest_rows_hold_no_matrix_of_all_queries_and_rows():
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(-3, 4, (20_000, 8)).astype(float), rng.integers(-3, 4, (600, 8)).astype(float)
+    tracemalloc.start()
+    who, ids, d = knn._nearest_rows(x, np.arange(20_000), q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # the matrix has 96 MB
+    for k in range(0, 600, 97):
+        away = np.round(np.sqrt(((x - q[k]) ** 2).sum(1)), 9)
+        assert ids[who == k].tolist() == np.lexsort((np.arange(20_000), away))[:5].tolist()
