@@ -8,11 +8,13 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH, MAX_TOKENS, PAD_ID = 32, 512, 1
+#: Texts that a task has as Python strings at once.
+ROWS_HELD = 512
 
 
 class Embedder(Protocol):
@@ -93,9 +95,13 @@ class OnnxEmbedder:
 def _map(rows: DataFrame, text: str, prefix: str, out: str, encode) -> DataFrame:
     keep = [f for f in rows.schema if f.name != out]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{out: list(encode([prefix + (t or "") for t in pdf[text]]))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_HELD):
+                part = batch.slice(at, ROWS_HELD)
+                x = np.asarray(encode([prefix + (t or "") for t in part.column(text).to_pylist()]), np.float32)
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[*part.schema.names, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{out}` array<float>"])
-    return rows.select(*(F.col(f.name) for f in keep)).mapInPandas(run, schema)
+    return rows.select(*(F.col(f.name) for f in keep)).mapInArrow(run, schema)

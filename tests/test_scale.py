@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sonde import queries as engine
-from sonde.operators import bm25, knn
+from sonde.operators import bm25, embed, knn
 
 
 def shuffled_rows(spark, run):
@@ -68,3 +68,13 @@ def test_nearest_rows_hold_no_matrix_of_all_queries_and_rows():
     for k in range(0, 600, 97):
         away = np.round(np.sqrt(((x - q[k]) ** 2).sum(1)), 9)
         assert ids[who == k].tolist() == np.lexsort((np.arange(20_000), away))[:5].tolist()
+
+
+def test_embedders_get_a_few_texts_at_once(spark):
+    def encode(texts):
+        assert len(texts) <= 512
+        return np.array([[len(t), 1] for t in texts])
+
+    rows = spark.range(1500).selectExpr("id", "repeat('x', cast(id % 7 AS int)) AS content").coalesce(1)
+    got = embed._map(rows, "content", "> ", "vector", encode).collect()
+    assert sorted((r["id"], r["vector"]) for r in got) == [(i, [2.0 + i % 7, 1.0]) for i in range(1500)]
