@@ -90,13 +90,13 @@ def check_brackets(text: Column) -> Column:
 
 
 def check_blanks(text: Column) -> Column:
-    blank = F.length(F.regexp_replace(text, r"(?U)\S", ""))
-    return F.when((F.length(text) == 0) | (5 * blank <= 2 * F.length(text)), 15).otherwise(0)
+    blank = F.length(text) - F.length(F.regexp_replace(text, r"(?U)\s+", ""))
+    return F.when(5 * blank <= 2 * F.length(text), 15).otherwise(0)
 
 
 def check_repeats(text: Column) -> Column:
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    return F.when((F.size(words) == 0) | (10 * F.size(F.array_distinct(words)) >= 3 * F.size(words)), 15).otherwise(0)
+    words = F.array(F.array_remove(F.split(text, r"(?U)\s+"), ""))
+    return F.when(F.get(F.transform(words, lambda w: 10 * F.size(F.array_distinct(w)) >= 3 * F.size(w)), 0), 15).otherwise(0)
 
 
 def structural_hundredths(tier: Column, tokens: Column, text: Column) -> Column:

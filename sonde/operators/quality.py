@@ -16,10 +16,14 @@ GROUPS_HELD = 20_000
 
 
 def structural_scores(chunks: DataFrame) -> DataFrame:
-    """``chunks`` (tier, token_count, content) with the five checks in hundredths, and structural (their sum)."""
+    """``chunks`` (tier, token_count, content) with the five checks in hundredths, and structural (their sum).
+
+    They are made by a generator, so that a filter on them does not work them out a second time.
+    """
     t, n, c = F.col("tier"), F.col("token_count"), F.col("content")
     checks = {"c_tokens": vectors.check_tokens(t, n), "c_ending": vectors.check_ending(c), "c_brackets": vectors.check_brackets(c), "c_blanks": vectors.check_blanks(c), "c_repeats": vectors.check_repeats(c)}
-    return chunks.withColumns(checks).withColumn("structural", sum((F.col(k) for k in checks), F.lit(0)))
+    made = chunks.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in checks.items())))))
+    return made.withColumn("structural", sum((F.col(k) for k in checks), F.lit(0)))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

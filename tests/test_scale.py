@@ -78,3 +78,11 @@ def test_embedders_get_a_few_texts_at_once(spark):
     rows = spark.range(1500).selectExpr("id", "repeat('x', cast(id % 7 AS int)) AS content").coalesce(1)
     got = embed._map(rows, "content", "> ", "vector", encode).collect()
     assert sorted((r["id"], r["vector"]) for r in got) == [(i, [2.0 + i % 7, 1.0]) for i in range(1500)]
+
+
+def test_checks_are_worked_out_once_and_chunks_not_shuffled(spark, sf_dir):
+    df = engine.CATALOGUE["scores_worst_first"][0](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1 and "Join" not in plan
+    rows, _ = shuffled_rows(spark, lambda: engine.CATALOGUE["scores_worst_first"][0](spark, sf_dir).collect())
+    assert rows <= 50 * spark.sparkContext.defaultParallelism
